@@ -81,7 +81,7 @@ def metadata_date(df: DataFrame, date_col: str = "date", metadata_col: str = "me
 
 def days_between(a, b, floor_first: bool = False) -> Column:
     """Whole 24-hour days between timestamps: floor(|d|), or |floor(d)|."""
-    s = (F.unix_micros(col(a)) - F.unix_micros(col(b))) / F.lit(86_400_000_000.0)
+    s = (F.unix_micros(col(a).cast("timestamp")) - F.unix_micros(col(b).cast("timestamp"))) / F.lit(86_400_000_000.0)
     return (F.abs(F.floor(s)) if floor_first else F.floor(F.abs(s))).cast("long")
 
 

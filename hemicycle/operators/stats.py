@@ -96,13 +96,12 @@ def paired_tests(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFr
     return rows.groupBy(*names).applyInPandas(run, f"{fields}, test string, n long, p double, effect double, low double, high double")
 
 
-def bootstrap_means(rows: DataFrame, key: str, values: Sequence[str], rounds: int = 500, alpha: float = 0.05, seed: int = 42, per_group: int = 200) -> DataFrame:
+def bootstrap_means(rows: DataFrame, key: str, values: Sequence[str], rounds: int = 500, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Percentile intervals of means by key. A key's draws depend on the seed and the key alone.
 
     A resample's mean is a weighted mean with Poisson(1) weights per row, drawn from a hash of (round, row).
     Groups go in parts of bounded size whose weighted sums are added, so no task holds a whole group.
     """
-    del per_group
     cols = list(values)
 
     def sums(batches):

@@ -52,7 +52,7 @@ class PieceModel:
         self.text = [byte_of[p] if p in byte_of and s else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode() for i, (p, s) in enumerate(zip(names, special, strict=True))]
         self.canonical = lru_cache(100_000)(lambda p: self.merge(p) == [p])
         self.agree = lru_cache(400_000)(lambda a, b: self.merge(a + b) == [a, b])
-        self.runs = Cache(lambda r: np.array(sp.encode(r[1:].replace(MARK, " ")), "<u4").tobytes() if r[0] == MARK else self.ids(self.merge(r)), most)
+        self.runs = Cache(lambda r: np.array(sp.encode(r[1:].replace(MARK, " ")), "<u4").tobytes() if r[0] == MARK and len(r) > 1 else self.ids(self.merge(r)), most)
 
     def merge(self, s: str) -> list[str]:
         """BPE by its definition, for strings of a few characters."""

@@ -58,7 +58,7 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
 def write_bytes(path: str, *parts) -> None:
     """Names are unique to a task attempt, and only names that a finished task reports are ever read."""
     fs, local = open_fs(path)
-    with fs.open_output_stream(local, buffer_size=1 << 20) as out:
+    with fs.open_output_stream(local, compression=None, buffer_size=1 << 20) as out:
         for x in parts:
             out.write(memoryview(x).cast("B") if not isinstance(x, bytes) else x)
 

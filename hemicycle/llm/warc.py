@@ -149,7 +149,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, broadcast_bytes: int =
         name, out, keys, total = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, [], 0
         fs, local = open_fs(name)
         for b in slices(batches, "html"):
-            out = out or fs.open_output_stream(local, buffer_size=1 << 20)
+            out = out or fs.open_output_stream(local, compression=None, buffer_size=1 << 20)
             for r in b.to_pylist():
                 pack = zlib.compressobj(4, zlib.DEFLATED, 31)
                 url = "".join(r["url"].splitlines())
@@ -189,7 +189,7 @@ def read_captures(manifest: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 fs, local = open_fs(r["archive"])
                 entries = []
-                with fs.open_input_stream(local) as f:
+                with fs.open_input_stream(local, compression=None) as f:
                     for at, size, head, block in read_records(f):
                         http, _, body = block.partition(b"\r\n\r\n")
                         n = int(http.rpartition(b"Content-Length: ")[2])

@@ -33,8 +33,12 @@ def alias_table(items: DataFrame, ids: Sequence[str], session: str | None = None
 def reference_candidates(rows: DataFrame, key: str, fields: Sequence[str], texts: Sequence[str], pattern: str, ids: DataFrame, aliases: DataFrame) -> DataFrame:
     """Ordered distinct items a row refers to: fields in order, then ids found in texts; an id counts before an alias."""
     fixed = [F.struct(F.lit(i).alias("rank"), F.lit(0).alias("pos"), F.lit(c).alias("source"), clean_doc_id(c).alias("ref")) for i, c in enumerate(fields)]
-    found = [F.transform(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(f"(?U)({pattern})"), F.lit(1)), lambda r, p, i=i, c=c: F.struct(F.lit(len(fields) + i).alias("rank"), p.alias("pos"), F.lit(c).alias("source"), r.alias("ref"))) for i, c in enumerate(texts)]
-    refs = rows.select(F.col(key), F.explode(F.concat(F.array(*fixed), *found)).alias("r")).select(key, "r.*").where("ref is not null").withColumn("ref", F.lower("ref"))
+
+    def found(i: int, c: str) -> Column:
+        ids = F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(f"(?U)({pattern})"), F.lit(1))
+        return F.transform(ids, lambda r, p: F.struct(F.lit(len(fields) + i).alias("rank"), p.alias("pos"), F.lit(c).alias("source"), r.alias("ref")))
+
+    refs = rows.select(F.col(key), F.explode(F.concat(F.array(*fixed), *(found(i, c) for i, c in enumerate(texts)))).alias("r")).select(key, "r.*").where("ref is not null").withColumn("ref", F.lower("ref"))
     by_id = ids.select(F.lower("item_id").alias("ref"), F.col("item_id").alias("by_id")).distinct()
     by_alias = aliases.select(F.col("alias").alias("ref"), F.col("item_id").alias("by_alias"))
     met = refs.join(by_id, "ref", "left").join(by_alias, "ref", "left").withColumn("item_id", F.coalesce("by_id", "by_alias")).where("item_id is not null")

@@ -377,7 +377,7 @@ def monthly_dense_grid(spark, d):
     return _months(spark, d).select(F.col("month").cast("string").alias("month"), *(_r(c, 4).alias(c) for c in ("said", "did", "mean")))
 
 
-_GAPPY = """g AS (SELECT c_mktsegment AS actor, x.k, CASE WHEN x.k % 3 = 1 THEN v END AS v FROM (SELECT DISTINCT c_mktsegment FROM customer), (SELECT unnest(range(0, 12)) AS k) x JOIN (SELECT o_custkey % 12 AS k, count(*) * 1.0 AS v FROM orders GROUP BY 1) y ON x.k = y.k)"""
+_GAPPY = """g AS (SELECT c_mktsegment AS actor, x.k, CASE WHEN x.k % 3 = 1 THEN v END AS v FROM (SELECT DISTINCT c_mktsegment FROM customer), (SELECT unnest(range(0, 12)) AS k) x JOIN (SELECT o_custkey % 12 AS k, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY 1) y ON x.k = y.k)"""
 
 
 def _gappy(spark, d):
@@ -397,7 +397,7 @@ def interpolate_gaps(spark, d):
     return P.interpolate(_gappy(spark, d), "actor", "k", "v").select("actor", "k", _r("filled").alias("filled"))
 
 
-_YEARLY = "y AS (SELECT c_mktsegment AS actor, CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) AS said, count(*) * 1.0 AS did FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
+_YEARLY = "y AS (SELECT c_mktsegment AS actor, CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) AS said, CAST(count(*) AS DOUBLE) AS did FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
 
 
 def _yearly(spark, d):

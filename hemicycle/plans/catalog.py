@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hemicycle.functions import clean as C
@@ -18,6 +19,7 @@ from hemicycle.operators import linkage as L
 from hemicycle.operators import profiles as P
 from hemicycle.operators import rows as R
 from hemicycle.operators import stats as S
+from hemicycle.operators.scoring import text_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -569,3 +571,113 @@ def bootstrap_ci(spark, d):
 @_query()
 def paired_tests(spark, d):
     return S.paired_tests(_yearly(spark, d), ["actor"], "said", "did")
+
+
+@_query("""SELECT conv_id, turn, CASE WHEN regexp_matches(s, 'the|und') THEN 'own' WHEN contains(s, '?') THEN 'rhetorical' WHEN regexp_matches(s, 'que|la') THEN 'opponent' ELSE 'neutral' END AS stance
+FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS s FROM conversations)""")
+def sentence_stance(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.stance(F.coalesce("text", F.lit("")), r"\?", "que|la", "the|und").alias("stance"))
+
+
+@_query("SELECT l_orderkey AS item_id, CAST(l_partkey AS BIGINT) AS ref FROM lineitem GROUP BY ALL")
+def explode_json_refs(spark, d):
+    refs = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.struct(F.col("l_partkey").cast("long").alias("ref"))).alias("refs"))
+    # one reference is an object, more are a list, as in the archives
+    text = F.when(F.size("refs") == 1, F.to_json(F.get("refs", F.lit(0)))).otherwise(F.to_json("refs"))
+    return refs.select(F.col("l_orderkey").alias("item_id"), F.explode(C.object_or_list(text, "struct<ref:bigint>")).alias("x")).select("item_id", "x.ref")
+
+
+@_query("SELECT doc_id, CAST(y AS INTEGER) AS year, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:19|20)[0-9]{2}')) AS y FROM documents) GROUP BY ALL")
+def year_tokens(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.explode(T.year_tokens("text")).alias("year")).groupBy("doc_id", "year").agg(F.count("*").alias("n"))
+
+
+_RHETORIC = {"appeal": ("the", "and"), "attack": ("und", "nicht"), "promise": ("que", "para")}
+_HITS = ", ".join(f"{' + '.join(f'''CAST(contains(lower(text), '{w}') AS INT)''' for w in words)} AS {name}" for name, words in _RHETORIC.items())
+_SHARES = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS label, CASE WHEN t > 0 THEN round({name} / t, 3) ELSE 0 END AS score FROM t" for name in _RHETORIC)
+
+
+@_query(f"WITH h AS (SELECT doc_id, {_HITS} FROM documents), t AS (SELECT *, {' + '.join(_RHETORIC)} AS t FROM h) {_SHARES} UNION ALL SELECT doc_id, 'none', CASE WHEN t = 0 THEN 1 ELSE 0 END FROM t")
+def rhetoric_shares(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.explode(T.rhetoric_scores("text", _RHETORIC)).alias("label", "score"))
+
+
+@_query("WITH n AS (SELECT p_brand AS category, count(*) AS n FROM part GROUP BY p_brand) SELECT category, n FROM n WHERE n < (SELECT median(n) FROM n)")
+def rare_classes(spark, d):
+    return S.rare_classes(_t(spark, d, "part").select(F.col("p_brand").alias("category")), "category")
+
+
+@_query(f"""WITH {_PROBS}, c AS (SELECT t, CAST(p1 > 0.5 AS INTEGER) AS q FROM p), k AS (SELECT unnest([0, 1]) AS class), s AS (SELECT class, count(*) FILTER (t = class) AS support, count(*) FILTER (t = class AND q = class) AS hits, count(*) FILTER (q = class) AS predicted FROM k, c GROUP BY class)
+SELECT CAST(class AS INTEGER) AS class, support, hits, predicted, round(hits / predicted, 6) AS precision, round(hits / support, 6) AS recall, round(2.0 * hits / (predicted + support), 6) AS f1 FROM s""")
+def class_metrics(spark, d):
+    out = S.class_metrics(_probs(spark, d).withColumn("predicted", V.argmax("p")), "t", "predicted")
+    return out.select(F.col("class").cast("int").alias("class"), "support", "hits", "predicted", *(_r(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@_query(f"WITH {_PROBS} SELECT round(avg(-ln(CASE WHEN t = 1 THEN p1 ELSE 1 - p1 END)), 6) AS nll, count(*) AS n FROM p")
+def log_loss(spark, d):
+    return S.log_loss(_probs(spark, d), "p", "t").select(_r("nll").alias("nll"), "n")
+
+
+@_query("""WITH y AS (SELECT c_mktsegment AS actor, CAST(year(o_orderdate) AS INTEGER) AS year, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT actor, year IN (1993, 1994, 1997, 1998, 2001, 2002) AS run_up, round(avg(v), 4) AS mean, count(*) AS n FROM y GROUP BY ALL""")
+def run_up_means(spark, d):
+    rows = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("actor"), F.year("o_orderdate").alias("year"), "o_totalprice")
+    marked = rows.withColumn("run_up", C.in_run_up("year", C.election_years(1994, 2002)))
+    return marked.groupBy("actor", "run_up").agg(_r(F.avg("o_totalprice"), 4).alias("mean"), F.count("*").alias("n"))
+
+
+@_query("""WITH y AS (SELECT c_mktsegment AS actor, CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) AS said, CAST(count(*) AS DOUBLE) AS did FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+r AS (SELECT *, rank() OVER (PARTITION BY actor ORDER BY said) + (count(*) OVER (PARTITION BY actor, said) - 1) / 2.0 AS a, rank() OVER (PARTITION BY actor ORDER BY did) + (count(*) OVER (PARTITION BY actor, did) - 1) / 2.0 AS b FROM y)
+SELECT actor, round(corr(said, did), 6) AS pearson, round(corr(a, b), 6) AS spearman, count(*) AS n FROM r GROUP BY actor""")
+def actor_correlation(spark, d):
+    return S.correlation(_yearly(spark, d), ["actor"], "said", "did").select("actor", _r("pearson").alias("pearson"), _r("spearman").alias("spearman"), "n")
+
+
+@_query()
+def sign_flip_test(spark, d):
+    """Whether an actor's yearly mean lies off the mean of all actors in those years."""
+
+    def test(pdf):
+        return pdf[["actor"]].head(1).assign(p=S.sign_flip_p(pdf["gap"].to_numpy()), n=len(pdf))
+
+    gaps = _yearly(spark, d).withColumn("gap", F.col("said") - F.avg("said").over(Window.partitionBy("year")))
+    return gaps.select("actor", "gap").groupBy("actor").applyInPandas(test, "actor string, p double, n long")
+
+
+@_query()
+def best_chunk_window(spark, d):
+    parts = _t(spark, d, "documents").select("doc_id", T.chunks("text", 300).alias("chunks"))
+    scored = parts.withColumn("scores", F.transform("chunks", lambda c: F.length(c) - F.length(F.replace(c, F.lit("e"), F.lit("")))))
+    return scored.select("doc_id", T.context_window("chunks", "scores", 1).alias("window"))
+
+
+@_query()
+def latent_factor(spark, d):
+    wide = P.centroids(_labels(spark, d), "actor", [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]).orderBy("actor").collect()  # one row per actor, a fixed few
+    scores = S.latent_factor(np.array([r["vector"] for r in wide])) if wide else []
+    return spark.createDataFrame([(r["actor"], float(s)) for r, s in zip(wide, scores, strict=True)], "actor string, score double")
+
+
+@_query()
+def tune_evolve(spark, d):
+    """The share and margin that bring the ratio nearest to its target, searched over counts taken once."""
+    margins = [i / 20 for i in range(21)]
+    counts = {r["margin"]: (r["n"], r["motions"], r["eligible"]) for r in S.rebalance_grid(_edges(spark, d), [1.0], margins, 9.4542).collect()}  # one row per margin
+
+    def score(x):
+        n, motions, eligible = counts[margins[round(x[1] * 20)]]
+        moved = motions + min(max(0, -int(-x[0] * n // 1) - motions), eligible)
+        return -abs(np.log(moved / max(n - moved, 1) / 9.4542)) if moved else -1e9
+
+    best, value = S.evolve(score, [(0.5, 1.0), (0.0, 1.0)])
+    return spark.createDataFrame([(float(best[0]), float(margins[round(best[1] * 20)]), float(-value))], "share double, margin double, ratio_error double")
+
+
+@_query()
+def supervised_classifier(spark, d):
+    """Held-out accuracy (one document in four) of the TF-IDF classifier on the labels."""
+    rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id").select("doc_id", F.col("quality").cast("string").alias("label"), T.tokens("text").alias("tokens"), (F.abs(F.xxhash64("doc_id")) % 4 == 0).alias("held_out"))
+    model = text_classifier().fit(rows.where(~F.col("held_out")))
+    scored = model.transform(rows.where("held_out"))
+    return scored.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label_index")).cast("double")).alias("accuracy"))

@@ -89,7 +89,11 @@ def month_distance(a, b) -> Column:
     return ((F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b)).cast("long")
 
 
-def period_bucket(year, bounds: Sequence[tuple[int, int]]) -> Column:
+# The parliament's periods.
+PERIODS = ((1971, 1979), (1980, 1989), (1990, 1997), (1998, 2001), (2002, 2005), (2006, 2009), (2010, 2013), (2014, 2017), (2018, 2021), (2022, 2025))
+
+
+def period_bucket(year, bounds: Sequence[tuple[int, int]] = PERIODS) -> Column:
     """'from-to' of the range that holds the year, else null."""
     out = F.lit(None).cast("string")
     for lo, hi in reversed(bounds):
@@ -140,9 +144,15 @@ def axis_index(c, axis: Sequence[str]) -> Column:
 
 # Rules by prefix, the first that holds decides.
 _CONFIDENCE = (
-    ("existing:rel_dok_id", 0.98), ("existing:dok_id", 0.95), ("existing:betankande", 0.90), ("existing:", 0.85), ("fallback:party_category_vote", 0.75),
-    ("fallback:party_category", 0.70), ("fallback:party_vote", 0.60), ("fallback:party", 0.55), ("fallback:category_vote", 0.50), ("fallback:category", 0.45), ("fallback:", 0.40),
+    ("existing:betankande_ref_dok_id", 0.98), ("existing:rel_dok_id", 0.95), ("existing:", 0.90), ("fallback:party_category_vote", 0.80), ("fallback:party_category", 0.75), ("fallback:party_vote", 0.70),
+    ("fallback:party", 0.65), ("fallback:category_vote", 0.60), ("fallback:category", 0.55), ("fallback:vote_any", 0.45),
+)
+# Stratum, score and whether it is structural, by the source's full name, then by its prefix.
+_STRATA_BY_NAME = (
+    ("existing:rel_dok_id", "structural_high", 0.95, True), ("existing:betankande_ref_dok_id", "structural_high", 0.95, True), ("graph_direct_signatory_motion", "graph_signatory", 0.85, True),
+    ("graph_direct_signatory_vote", "graph_signatory", 0.85, True), ("graph_direct_motion", "graph_direct", 0.65, False), ("graph_direct_vote", "graph_direct", 0.65, False), ("graph_rebalanced_motion", "heuristic_graph", 0.50, False),
 )
+_STRATA_BY_PREFIX = (("existing:", "existing_unknown", 0.70, False), ("fallback_after_stale_existing:", "heuristic_fallback", 0.40, False), ("fallback:", "heuristic_fallback", 0.35, False))
 
 
 def link_confidence(c, rules: Sequence[tuple[str, float]] = _CONFIDENCE, default: float = 0.35) -> Column:
@@ -153,17 +163,14 @@ def link_confidence(c, rules: Sequence[tuple[str, float]] = _CONFIDENCE, default
 
 
 def link_stratum(c) -> Column:
-    """struct(stratum, score, structural) of a link's source."""
-    s = F.coalesce(col(c), F.lit(""))
+    """struct(stratum, score, structural) of a link's source; an unknown or null source is the stratum unknown."""
+    s = F.trim(F.coalesce(col(c), F.lit("")))
     make = lambda name, score, structural: F.struct(F.lit(name).alias("stratum"), F.lit(score).alias("score"), F.lit(structural).alias("structural"))
-    return (
-        F.when(s.startswith("existing:"), make("existing_ref", 1.0, True))
-        .when(s.contains("signatory"), make("graph_signatory", 0.85, True))
-        .when(s.startswith("graph_"), make("structural", 0.7, True))
-        .when(s.startswith("fallback_after_"), make("fallback", 0.4, False))
-        .when(s.startswith("fallback:"), make("fallback", 0.4, False))
-        .otherwise(make("other", 0.3, False))
-    )
+    rules = [(s == name, out) for name, *out in _STRATA_BY_NAME] + [(s.startswith(prefix), out) for prefix, *out in _STRATA_BY_PREFIX]
+    result = make("unknown", 0.20, False)
+    for holds, out in reversed(rules):
+        result = F.when(holds, make(*out)).otherwise(result)
+    return result
 
 
 def first_signatory(signatories: str) -> Column:

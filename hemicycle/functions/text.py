@@ -5,6 +5,8 @@ from __future__ import annotations
 import html as _html
 import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -122,13 +124,31 @@ def policy_sentences(c, drop: Sequence[str], keep: Sequence[str], modals: Sequen
     return F.array_join(ok, " ")
 
 
-def stance_boost(c, concepts: Mapping[str, tuple[Sequence[str], Sequence[str]]], boost: float = 0.5) -> Column:
-    """map concept -> +boost if only its favourable words occur, -boost if only its opposed ones."""
-    items = []
-    for name, (pro, con) in concepts.items():
-        p, n = keyword_hits(c, pro) > 0, keyword_hits(c, con) > 0
-        items += [F.lit(name), F.when(p & ~n, boost).when(n & ~p, -boost).otherwise(0.0)]
-    return F.create_map(*items)
+def _any(text: Column, words: Sequence[str]) -> Column:
+    return F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w)), F.lit(False))
+
+
+def _summed(parts: Sequence[tuple[Column, Mapping[str, float]]]) -> Column:
+    names = list(dict.fromkeys(n for _, boosts in parts for n in boosts))
+    totals = [sum((F.when(on, b[n]).otherwise(0.0) for on, b in parts if n in b), F.lit(0.0)) for n in names]
+    return F.map_filter(F.create_map(*(x for n, t in zip(names, totals, strict=True) for x in (F.lit(n), t))), lambda _, v: v != 0)
+
+
+def stance_boost(c, concepts: Mapping[str, tuple[Sequence[str], Sequence[str]]], one: Mapping[str, float], other: Mapping[str, float], lemmas=None) -> Column:
+    """map category -> summed boosts: for each concept in the text (or in its lemmas, where given) whose words of only one side occur, that side's boosts."""
+    t = F.lower(F.coalesce(col(c), F.lit("")))
+    parts = []
+    for concept, (a, b) in concepts.items():
+        named = t.contains(concept) if lemmas is None else t.contains(concept) | F.coalesce(F.array_join(col(lemmas), " ").contains(concept), F.lit(False))
+        x, y = _any(t, a), _any(t, b)
+        parts += [(named & x & ~y, one), (named & y & ~x, other)]
+    return _summed(parts)
+
+
+def cooccurrence_boost(c, rules: Sequence[tuple[Sequence[Sequence[str]], Mapping[str, float]]]) -> Column:
+    """map category -> summed boosts of the rules of which every word group has a word in the text."""
+    t = F.lower(F.coalesce(col(c), F.lit("")))
+    return _summed([(reduce(and_, (_any(t, g) for g in groups)), boosts) for groups, boosts in rules])
 
 
 def rhetoric_scores(c, lexicon: Mapping[str, Sequence[str]]) -> Column:
@@ -140,9 +160,32 @@ def rhetoric_scores(c, lexicon: Mapping[str, Sequence[str]]) -> Column:
 
 
 def repair_json(c) -> Column:
-    """Model output that is nearly JSON: typographic quotes, trailing commas and text around the object."""
-    t = F.regexp_replace(F.translate(col(c), "“”’", "\"\"'"), r",\s*([}\]])", "$1")
-    return F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+    """Single quotes made double, commas before a closing bracket dropped."""
+    return F.regexp_replace(F.translate(col(c), "'", '"'), r",\s*([}\]])", "$1")
+
+
+def json_scores(c, keys: Sequence[str]) -> Column:
+    """map key -> number from a model's answer that holds something like JSON.
+
+    The object that names the first key, else the widest one that names the second, is repaired and
+    parsed; a key may stand with blanks for underscores. What does not parse is read pair by pair.
+    Null if nothing is found.
+    """
+    raw = col(c)
+    narrow = F.regexp_extract(raw, rf'(?s)\{{[^{{}}]*"{keys[0]}"[^{{}}]*\}}', 0)
+    wide = F.regexp_extract(raw, rf'(?s)\{{.*"{keys[min(1, len(keys) - 1)]}".*\}}', 0)
+    text = repair_json(F.coalesce(F.nullif(narrow, F.lit("")), wide))
+    obj = F.from_json(text, "map<string,string>")
+    pair = lambda k: F.nullif(F.regexp_extract(text, rf'"{k}"\s*:\s*([0-9]+(?:\.[0-9]+)?)', 1), F.lit(""))
+    found = [F.when(obj.isNotNull(), F.coalesce(obj[k], obj[k.replace("_", " ")])).otherwise(pair(k)).try_cast("double") for k in keys]
+    out = F.map_filter(F.create_map(*(x for k, v in zip(keys, found, strict=True) for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
+    return F.when(F.size(out) > 0, out)
+
+
+def margin_gate(similarities, expected: str, neighbours: Sequence[str], least: float = 0.05) -> Column:
+    """The expected category's similarity exceeds each neighbour's by the margin; those not measured do not count."""
+    s = col(similarities)
+    return reduce(and_, (F.coalesce(s[expected] - s[n] >= least, F.lit(True)) for n in neighbours), F.lit(True))
 
 
 def year_tokens(c) -> Column:

@@ -93,11 +93,11 @@ def pad(v, n: int) -> Column:
 
 
 def contradiction(js, flip) -> Column:
-    """struct(entailment, contradiction, neutral, raw), each within [0, 1]."""
+    """struct(entailment, contradiction, neutral, raw), each within [0, 1]; a missing distance or flip is 0."""
     clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    j, f = clip(col(js)), clip(col(flip))
-    entail, contra = 1 - j, clip(0.7 * j + 0.3 * f)
-    return F.struct(entail.alias("entailment"), contra.alias("contradiction"), clip(1 - F.greatest(entail, contra)).alias("neutral"), clip(0.6 * contra + 0.3 * j + 0.1 * f).alias("raw"))
+    j, f = (F.coalesce(F.nanvl(col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in (js, flip))
+    entail, contra = clip(1 - j), clip(0.7 * j + 0.3 * f)
+    return F.struct(entail.alias("entailment"), contra.alias("contradiction"), clip(1 - entail - contra).alias("neutral"), clip(0.6 * contra + 0.3 * j + 0.1 * f).alias("raw"))
 
 
 def feature_vector(signals: Sequence[str], topics: str, rhetoric: Sequence[str], length: str, recency_days: str, kind: str, kinds: Sequence[str], n_topics: int = 100) -> Column:

@@ -139,7 +139,7 @@ def ladder(rows: DataFrame, items: DataFrame, rungs=FALLBACK, prefix: str = "fal
     return out.withColumns({"target_id": target, "link_source": source}).drop(*(f"__{n}" for n in chosen))
 
 
-def edge_score(signatory: Column, party: Column, category: Column, days: Column, prior: Column, half_life: float = 365.0) -> Column:
+def edge_score(signatory: Column, party: Column, category: Column, days: Column, prior: Column, half_life: float = 120.0) -> Column:
     """.40 signatory + .25 party + .20 category + .10 nearness in time + .05 prior; what is missing counts 0."""
     on = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     near = F.coalesce(1 / (1 + days / max(1.0, half_life)), F.lit(0.0))
@@ -168,11 +168,12 @@ def rebalance(links: DataFrame, share: float, min_margin: float = 0.0, key: str
     """Turn as many vote links into motion links as bring motions to `share` of all.
 
     Eligible: votes that are no earlier link, have a motion candidate and lose at most by the margin;
-    best margin first, then score, then key. The number needed is one aggregate; the flips are the
-    first rows of one order.
+    best margin first, then score, then key. A missing margin is -1. The number needed is one
+    aggregate; the flips are the first rows of one order.
     """
-    need = links.agg(F.greatest(F.lit(0), F.ceil(F.lit(share) * F.count("*")) - F.count(F.when(F.col("action_type") == "motion", 1))).alias("need")).first()["need"]
-    ok = (F.col("action_type") == "vote") & ~F.coalesce(F.col("link_source").startswith("existing"), F.lit(False)) & F.col("motion_candidate").isNotNull() & (F.col("margin") >= min_margin)
-    flips = links.where(ok).orderBy(F.col("margin").desc(), F.col("score").desc(), key).limit(int(need)).select(key, F.lit(True).alias("rebalanced"))
+    held = F.coalesce(F.nanvl(F.col("margin").cast("double"), F.lit(None).cast("double")), F.lit(-1.0))
+    need = links.agg(F.greatest(F.lit(0), F.ceil(F.lit(min(1.0, max(0.0, share))) * F.count("*")) - F.count(F.when(F.col("action_type") == "motion", 1))).alias("need")).first()["need"]
+    ok = (F.col("action_type") == "vote") & ~F.coalesce(F.col("link_source").startswith("existing:"), F.lit(False)) & F.coalesce(F.col("motion_candidate").cast("string") != "", F.lit(False)) & (held >= min_margin)
+    flips = links.where(ok).orderBy(held.desc(), F.col("score").desc_nulls_last(), key).limit(int(need)).select(key, F.lit(True).alias("rebalanced"))
     out = links.join(flips, key, "left").withColumn("rebalanced", F.coalesce("rebalanced", F.lit(False)))
-    return out.withColumns({"action_type": F.when(F.col("rebalanced"), "motion").otherwise(F.col("action_type")), "action_id": F.when(F.col("rebalanced"), F.col("motion_candidate")).otherwise(F.col("action_id")), "link_source": F.when(F.col("rebalanced"), "graph_rebalanced").otherwise(F.col("link_source"))})
+    return out.withColumns({"action_type": F.when(F.col("rebalanced"), "motion").otherwise(F.col("action_type")), "action_id": F.when(F.col("rebalanced"), F.col("motion_candidate")).otherwise(F.col("action_id")), "link_source": F.when(F.col("rebalanced"), "graph_rebalanced_motion").otherwise(F.col("link_source"))})

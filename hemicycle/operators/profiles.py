@@ -141,17 +141,26 @@ def polarisation(rows: DataFrame, actor: str, period: str, positions: dict[str,
 
 
 def consistency(gaps: DataFrame, keys: Sequence[str], motion_share: float = 0.5) -> DataFrame:
-    """Gaps by comparison to consistency, cohesion and conditional fulfilment."""
+    """Gaps by comparison to consistency and action cohesion."""
     wide = gaps.groupBy(*keys).pivot("comparison", ["speech_vs_motion", "speech_vs_vote", "motion_vs_vote"]).agg(F.avg("js_distance"))
     sm, sv, mv = (F.col(c) for c in ("speech_vs_motion", "speech_vs_vote", "motion_vs_vote"))
-    return wide.withColumns({"consistency": 1 - (motion_share * sm + (1 - motion_share) * sv), "cohesion": 1 - mv, "conditional": (1 - sm) * (1 - mv)})
+    share = min(1.0, max(0.0, motion_share))
+    return wide.withColumns({"consistency": 1 - (share * sm + (1 - share) * sv), "cohesion": 1 - mv})
 
 
-def composite(rows: DataFrame, fulfilment: str, conditional: str, contradiction: str, consistent: str, mix: float = 0.5, power: float = 1.0) -> DataFrame:
-    """Fulfilment mixed with its conditional form, times consistency and (1 - contradiction) ** power."""
-    mixed = mix * F.col(fulfilment) + (1 - mix) * F.col(conditional)
-    penalty = F.pow(F.greatest(F.lit(0.0), 1 - F.col(contradiction)), power)
-    return rows.withColumns({"fulfilment_mix": mixed, "penalty": penalty, "uphold": mixed * F.col(consistent) * penalty})
+def conditional_fulfilment(voted, not_voted) -> Column:
+    """Share of the statements with a motion that also reached a vote; null where none has a motion."""
+    v, n = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0)) for c in (voted, not_voted))
+    return F.try_divide(v, F.nullif(v + n, F.lit(0.0)))
+
+
+def composite(rows: DataFrame, vote_alignment: str, pathway: str, contradiction: str, consistent: str, vote_share: float = 0.5, power: float = 1.0, fill: float = 0.5) -> DataFrame:
+    """Vote alignment mixed with pathway fulfilment (missing: fill), times consistency and (1 - contradiction) ** power; also consistency under the penalty alone."""
+    share = min(1.0, max(0.0, vote_share))
+    v, m = (F.coalesce(c, F.lit(fill)) for c in (vote_alignment, pathway))
+    penalty = F.pow(1 - F.coalesce(contradiction, F.lit(0.0)), F.lit(power))
+    out = rows.withColumns({"fulfilment": share * v + (1 - share) * m, "penalty": penalty})
+    return out.withColumns({"adjusted": F.col(consistent) * F.col("penalty"), "uphold": F.col(consistent) * F.col("fulfilment") * F.col("penalty")})
 
 
 # Votes

@@ -178,6 +178,37 @@ def reliability(rows: DataFrame, p: str, hit: str, bins: int = 10) -> DataFrame:
     return rows.groupBy(b.alias("bin")).agg(F.avg(p).alias("confidence"), F.avg(F.col(hit).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
+def isotonic(rows: DataFrame, p: str, hit: str, digits: int = 4) -> DataFrame:
+    """score, calibrated: the monotone fit of hit on p. Scores are first rounded and pooled, so the fit sees at most 10 ** digits + 1 weighted rows."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    pooled = rows.where(F.col(p).isNotNull() & F.col(hit).isNotNull()).groupBy(F.round(p, digits).alias("score")).agg(F.avg(F.col(hit).cast("double")).alias("hit"), F.count("*").cast("double").alias("n"))
+    if pooled.isEmpty():
+        return pooled.select("score", F.col("hit").alias("calibrated"))
+    fit = IsotonicRegression(featuresCol="score", labelCol="hit", weightCol="n", predictionCol="calibrated").fit(pooled)
+    return fit.transform(pooled).select("score", "calibrated")
+
+
+def kmeans(rows: DataFrame, vector: str, k: int = 3, seed: int = 42) -> DataFrame:
+    """rows with `cluster`, of k-means over an array column."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    held = rows.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
+    return KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(held).transform(held).drop("__v")
+
+
+def principal(rows: DataFrame, vector: str, k: int = 2) -> DataFrame:
+    """rows with `components`, the first k principal components of a centred array column."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    held = rows.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="__v", outputCol="__c").fit(held).transform(held)
+    out = PCA(k=k, inputCol="__c", outputCol="__p").fit(centred).transform(centred)
+    return out.withColumn("components", vector_to_array("__p")).drop("__v", "__c", "__p")
+
+
 def hash_order(key: str, seed: int = 42):
     """A reproducible random order, whatever the partitioning."""
     return F.xxhash64(F.lit(seed), F.col(key))

@@ -178,10 +178,11 @@ def profile_js_cosine(spark, d):
 
 
 @_query(f"""WITH {_GAPS}, w AS (SELECT actor, max(js_distance) FILTER (comparison = 'speech_vs_motion') AS sm, max(js_distance) FILTER (comparison = 'speech_vs_vote') AS sv, max(js_distance) FILTER (comparison = 'motion_vs_vote') AS mv FROM gaps GROUP BY actor)
-SELECT actor, round(1 - (0.5 * sm + 0.5 * sv), 6) AS consistency, round(1 - mv, 6) AS cohesion, round((0.5 * (1 - sm) + 0.5 * (1 - sm) * (1 - mv)) * (1 - (0.5 * sm + 0.5 * sv)) * pow(1 - sv, 2), 6) AS uphold FROM w""")
+SELECT actor, round(1 - (0.5 * sm + 0.5 * sv), 6) AS consistency, round(1 - mv, 6) AS cohesion, round((0.5 * (1 - sm) + 0.5 * (1 - sm) / (1 - sm + mv)) * (1 - (0.5 * sm + 0.5 * sv)) * pow(1 - sv, 2), 6) AS uphold FROM w""")
 def consistency_composite(spark, d):
-    c = P.consistency(_gaps(spark, d), ["actor"]).withColumn("fulfil", 1 - F.col("speech_vs_motion"))
-    out = P.composite(c, "fulfil", "conditional", "speech_vs_vote", "consistency", power=2.0)
+    c = P.consistency(_gaps(spark, d), ["actor"]).withColumn("aligned", 1 - F.col("speech_vs_motion"))
+    c = c.withColumn("pathway", P.conditional_fulfilment("aligned", "motion_vs_vote"))
+    out = P.composite(c, "aligned", "pathway", "speech_vs_vote", "consistency", power=2.0)
     return out.select("actor", _r("consistency").alias("consistency"), _r("cohesion").alias("cohesion"), _r("uphold").alias("uphold"))
 
 
@@ -296,7 +297,7 @@ def link_source_shares(spark, d):
 
 _EDGE = """u AS (SELECT l_orderkey * 10 + l_linenumber AS item_id, min(l_linenumber) AS l_linenumber, max(l_returnflag) AS l_returnflag, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, max(l_tax) AS l_tax, max(l_discount) AS l_discount, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1),
 e AS (SELECT item_id, CASE WHEN l_returnflag = 'R' THEN 'vote' ELSE 'motion' END AS action_type, l_partkey AS action_id,
-  CASE WHEN l_linenumber % 4 <> 0 THEN l_suppkey END AS motion_candidate, 'fallback:any' AS link_source, 0.4 * CAST(l_linenumber = 1 AS INT) + 0.25 * CAST(l_tax > 0.03 AS INT) + 0.2 * CAST(l_discount > 0.05 AS INT) + 0.1 / (1 + l_quantity / 365.0) + 0.05 * 0.35 AS score, l_discount AS margin FROM u)"""
+  CASE WHEN l_linenumber % 4 <> 0 THEN l_suppkey END AS motion_candidate, 'fallback:any' AS link_source, 0.4 * CAST(l_linenumber = 1 AS INT) + 0.25 * CAST(l_tax > 0.03 AS INT) + 0.2 * CAST(l_discount > 0.05 AS INT) + 0.1 / (1 + l_quantity / 120.0) + 0.05 * 0.35 AS score, l_discount AS margin FROM u)"""
 
 
 def _edges(spark, d):
@@ -681,3 +682,84 @@ def supervised_classifier(spark, d):
     model = text_classifier().fit(rows.where(~F.col("held_out")))
     scored = model.transform(rows.where("held_out"))
     return scored.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label_index")).cast("double")).alias("accuracy"))
+
+
+_SOURCES = ("existing:betankande_ref_dok_id", "existing:rel_dok_id", "existing:dok_id", "fallback:party_category_vote", "fallback:party", "fallback:any", "fallback_after_stale_existing:party", "graph_direct_vote", "graph_direct_signatory_motion", "graph_rebalanced_motion")
+_SOURCE_LIST = "[" + ", ".join(f"'{s}'" for s in _SOURCES) + "]"
+
+
+def _sources(spark, d) -> DataFrame:
+    """Order lines as links, with the sources in turn."""
+    source = F.element_at(F.array(*map(F.lit, _SOURCES)), (F.col("l_partkey") % len(_SOURCES) + 1).cast("int"))
+    return _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("party"), source.alias("link_source"))
+
+
+@_query(f"""WITH s AS (SELECT l_returnflag AS party, ({_SOURCE_LIST})[l_partkey % {len(_SOURCES)} + 1] AS x FROM lineitem)
+SELECT party, round(avg(CASE x WHEN 'existing:betankande_ref_dok_id' THEN 0.98 WHEN 'existing:rel_dok_id' THEN 0.95 WHEN 'existing:dok_id' THEN 0.9 WHEN 'fallback:party_category_vote' THEN 0.8 WHEN 'fallback:party' THEN 0.65 ELSE 0.35 END), 6) AS mean_confidence, count(*) AS n FROM s GROUP BY party""")
+def source_confidence(spark, d):
+    return _sources(spark, d).groupBy("party").agg(_r(F.avg(C.link_confidence("link_source"))).alias("mean_confidence"), F.count("*").alias("n"))
+
+
+@_query(f"""WITH s AS (SELECT l_returnflag AS party, ({_SOURCE_LIST})[l_partkey % {len(_SOURCES)} + 1] AS x FROM lineitem),
+t AS (SELECT party, CASE WHEN x IN ('existing:betankande_ref_dok_id', 'existing:rel_dok_id') THEN 'structural_high' WHEN x LIKE 'existing:%' THEN 'existing_unknown' WHEN x LIKE 'graph_direct_sig%' THEN 'graph_signatory' WHEN x = 'graph_direct_vote' THEN 'graph_direct' WHEN x = 'graph_rebalanced_motion' THEN 'heuristic_graph' ELSE 'heuristic_fallback' END AS stratum,
+  x IN ('existing:betankande_ref_dok_id', 'existing:rel_dok_id', 'graph_direct_signatory_motion') AS structural FROM s), c AS (SELECT party, stratum, structural, count(*) AS n FROM t GROUP BY ALL)
+SELECT party, stratum, structural, n, round(n / sum(n) OVER (PARTITION BY party), 6) AS share FROM c""")
+def strata_shares(spark, d):
+    """Links by party and stratum, with the share within the party."""
+    n = _sources(spark, d).select("party", C.link_stratum("link_source").alias("s")).groupBy("party", "s.stratum", "s.structural").agg(F.count("*").alias("n"))
+    return n.select("party", "stratum", "structural", "n", _r(F.col("n") / F.sum("n").over(Window.partitionBy("party"))).alias("share"))
+
+
+@_query("""SELECT c_mktsegment AS actor, CASE WHEN y <= 1993 THEN '1992-1993' WHEN y <= 1996 THEN '1994-1996' ELSE '1997-1998' END AS period, count(*) AS n
+FROM (SELECT *, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey) WHERE y BETWEEN 1992 AND 1998 GROUP BY ALL""")
+def period_counts(spark, d):
+    rows = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("actor"), F.year("o_orderdate").alias("year"))
+    return rows.withColumn("period", C.period_bucket("year", [(1992, 1993), (1994, 1996), (1997, 1998)])).where("period is not null").groupBy("actor", "period").agg(F.count("*").alias("n"))
+
+
+@_query("""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), b AS (SELECT doc_id, contains(t, 'er') AS on1, contains(t, 'zz') OR contains(t, 'qu') AS l, contains(t, 'ck') AS r, contains(t, 'th') AND (contains(t, 'sch') OR contains(t, 'ion')) AS paired FROM t),
+s AS (SELECT doc_id, CASE WHEN on1 AND l AND NOT r THEN 0.5 ELSE 0 END + CASE WHEN paired THEN 1.4 ELSE 0 END AS "left", CASE WHEN on1 AND r AND NOT l THEN 0.5 ELSE 0 END AS "right" FROM b)
+SELECT doc_id, 'left' AS category, round(CAST("left" AS DOUBLE), 6) AS boost FROM s WHERE "left" > 0 UNION ALL SELECT doc_id, 'right', round(CAST("right" AS DOUBLE), 6) FROM s WHERE "right" > 0""")
+def text_boosts(spark, d):
+    """Boosts by concept and direction, and by co-occurrence, summed by category."""
+    both = [([["th"], ["sch", "ion"]], {"left": 1.4})]
+    maps = F.array(T.stance_boost("text", {"er": (["zz", "qu"], ["ck"])}, {"left": 0.5}, {"right": 0.5}), T.cooccurrence_boost("text", both))
+    rows = _t(spark, d, "documents").select("doc_id", F.explode(F.flatten(F.transform(maps, F.map_entries))).alias("x"))
+    return rows.groupBy("doc_id", F.col("x.key").alias("category")).agg(_r(F.sum("x.value")).alias("boost"))
+
+
+@_query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE try_cast(json_extract_string(props, '$.k') AS DOUBLE) IS NOT NULL""")
+def json_number(spark, d):
+    return _t(spark, d, "events").select("event_id", T.json_scores("props", ["k"])["k"].alias("k")).where("k is not null")
+
+
+@_query("SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', '<mail>', 'g'), '[0-9]{4,}', '<n>', 'g') AS text FROM documents")
+def redact_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.redact("text", {"[A-Za-z0-9._]+@[A-Za-z0-9.]+": "<mail>", "[0-9]{4,}": "<n>"}).alias("text"))
+
+
+@_query("""WITH c AS (SELECT substr(c_name, length(c_name), 1) AS x, c_custkey FROM customer), n AS (SELECT c_custkey, (['s', 'fp', 'VPK', 'vpk', 'apk', '-', ' sd ', 'M', 'xx', ''])[c_custkey % 10 + 1] AS p FROM c)
+SELECT CASE WHEN p IN ('s', 'apk') THEN 'S' WHEN p = 'fp' THEN 'L' WHEN p = 'vpk' THEN 'V' WHEN p = ' sd ' THEN 'SD' WHEN p = 'M' THEN 'M' END AS party, CASE WHEN p = 's' THEN 'S' WHEN p = 'fp' THEN 'L' WHEN p = ' sd ' THEN 'SD' WHEN p = 'M' THEN 'M' END AS speech_party, count(*) AS n FROM n GROUP BY ALL""")
+def normalise_party(spark, d):
+    """Both ways of normalising a party's label."""
+    spellings = F.array(*map(F.lit, ("s", "fp", "VPK", "vpk", "apk", "-", " sd ", "M", "xx", "")))
+    rows = _t(spark, d, "customer").select(F.element_at(spellings, (F.col("c_custkey") % 10 + 1).cast("int")).alias("p"))
+    return rows.groupBy(C.normalise_actor("p").alias("party"), C.normalise_speech_actor("p").alias("speech_party")).agg(F.count("*").alias("n"))
+
+
+@_query("""WITH y AS (SELECT c_mktsegment AS actor, CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) AS said FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT actor, year, round((said - avg(said) OVER (PARTITION BY actor)) / stddev_pop(said) OVER (PARTITION BY actor), 5) AS z FROM y""")
+def z_scores(spark, d):
+    return _yearly(spark, d).select("actor", "year", _r(P.z_score("said", "actor"), 5).alias("z"))
+
+
+@_query()
+def isotonic_calibration(spark, d):
+    return S.isotonic(_probs(spark, d), "p1", "t")
+
+
+@_query()
+def actor_clusters(spark, d):
+    """Three clusters of the actors' centroids, with the first two principal components."""
+    vectors = P.centroids(_labels(spark, d), "actor", [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)])
+    return S.principal(S.kmeans(vectors, "vector", 3), "vector", 2).select("actor", "cluster", "components")

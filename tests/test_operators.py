@@ -54,10 +54,33 @@ def test_days_and_votes(spark):
     assert [r[0] for r in v] == [1.0, 0.0, None]
 
 
-def test_confidence_order(spark):
-    src = ["existing:rel_dok_id", "fallback:party_vote", "fallback:party", "graph_x"]
-    got = [r[0] for r in spark.createDataFrame([(s,) for s in src], "s string").select(C.link_confidence("s")).collect()]
-    assert got == sorted(got, reverse=True) and len(set(got)) == 4
+def test_confidence_and_stratum(spark):
+    want = {
+        "existing:betankande_ref_dok_id": (0.98, "structural_high", 0.95, True), "existing:rel_dok_id": (0.95, "structural_high", 0.95, True), "existing:dok_id": (0.9, "existing_unknown", 0.7, False),
+        "fallback:party_category_vote": (0.8, "heuristic_fallback", 0.35, False), "fallback:party_vote": (0.7, "heuristic_fallback", 0.35, False), "fallback:party": (0.65, "heuristic_fallback", 0.35, False), "fallback:vote_any": (0.45, "heuristic_fallback", 0.35, False),
+        "fallback:any": (0.35, "heuristic_fallback", 0.35, False), "fallback_after_stale_existing:party": (0.35, "heuristic_fallback", 0.4, False), "graph_direct_signatory_vote": (0.35, "graph_signatory", 0.85, True),
+        "graph_direct_motion": (0.35, "graph_direct", 0.65, False), "graph_rebalanced_motion": (0.35, "heuristic_graph", 0.5, False), None: (0.35, "unknown", 0.2, False), "x": (0.35, "unknown", 0.2, False),
+    }
+    rows = spark.createDataFrame([(s,) for s in want], "s string").select("s", C.link_confidence("s").alias("c"), C.link_stratum("s").alias("t")).collect()
+    assert {r["s"]: (r["c"], *r["t"]) for r in rows} == want
+
+
+def test_contradiction(spark):
+    r = spark.createDataFrame([(0.5, 1.0), (None, None)], "j double, f double").select(V.contradiction("j", "f").alias("x")).collect()
+    assert tuple(r[0]["x"]) == pytest.approx((0.5, 0.65, 0.0, 0.64)) and tuple(r[1]["x"]) == (1.0, 0.0, 0.0, 0.0)
+
+
+def test_boosts_json_and_margin(spark):
+    rules = {"tax": (["raise"], ["cut"]), "state": (["grow"], ["shrink"])}
+    df = spark.createDataFrame([("Raise the tax, grow the state",), ("raise and cut tax",), ("raise",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.stance_boost("t", rules, {"left": 0.5, "mid": 0.3}, {"right": 0.5})).collect()] == [{"left": 1.0, "mid": 0.6}, {}, {}, {}]
+    both = [([["raise"], ["tax", "fee"]], {"left": 1.4}), ([["cut"]], {"right": 1.0, "left": 0.1})]
+    assert [r[0] for r in df.select(T.cooccurrence_boost("t", both)).collect()] == [{"left": 1.4}, {"left": 1.5, "right": 1.0}, {}, {}]
+    raw = ['so: {"far_left": 10, "left": "4",} end', '{"far left": 3, "left": 5}', '{"far_left": 1, left: 2, "mid": 7.5}', "{'left': 2}", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "t string").select(T.json_scores("t", ["far_left", "left", "mid"])).collect()]
+    assert got == [{"far_left": 10.0, "left": 4.0}, {"far_left": 3.0, "left": 5.0}, {"far_left": 1.0, "mid": 7.5}, None, None]
+    sims = spark.createDataFrame([({"a": 0.5, "b": 0.4},), ({"a": 0.5, "b": 0.48},), ({"b": 0.9},)], "m map<string,double>")
+    assert [r[0] for r in sims.select(T.margin_gate("m", "a", ["b", "c"])).collect()] == [True, False, True]
 
 
 def test_run_up(spark):

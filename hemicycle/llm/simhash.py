@@ -44,13 +44,21 @@ def shingle_hashes(text: str, k: int) -> np.ndarray:
     return np.array([h(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[k - 1 :], strict=False)], np.uint64)
 
 
+def majorities(hashes: np.ndarray, extra: int = 0) -> list[int]:
+    """The 64 bits set in more than half of the hashes, as an unsigned integer; then those of `extra` remixings of the hashes."""
+    ones = np.zeros(64 * (extra + 1), np.int64)
+    salt = np.arange(extra + 1, dtype=np.uint64)
+    for lo in range(0, len(hashes), 2040):
+        h = hashes[lo : lo + 2040, None]
+        mixed = np.concatenate([h, mix64(h + salt[1:])], 1) if extra else h
+        bits = np.unpackbits(mixed.astype(">u8").view(np.uint8), axis=1)
+        for at in range(0, len(bits), 255):  # whose sums fit in a byte
+            ones += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).view(">u8").tolist()
+
+
 def majority(hashes: np.ndarray) -> int:
-    """The 64 bits set in more than half of the hashes, as one unsigned integer."""
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), 1 << 15):
-        part = hashes[lo : lo + (1 << 15)].astype(">u8").view(np.uint8)
-        ones += np.unpackbits(part).reshape(-1, 64).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return majorities(hashes)[0]
 
 
 def fingerprints(docs: DataFrame, k: int = 5, extra: int = 0) -> DataFrame:
@@ -65,7 +73,7 @@ def fingerprints(docs: DataFrame, k: int = 5, extra: int = 0) -> DataFrame:
             rows, content = [], []
             for text in b.column(2).to_pylist():
                 h = shingle_hashes(text or "", k)
-                rows.append([majority(h), *(majority(mix64(h + np.uint64(i + 1))) for i in range(extra))])
+                rows.append(majorities(h, extra))
                 content.append(xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), 7))
             parts = np.array(rows, np.uint64).reshape(-1, extra + 1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -166,11 +174,11 @@ class _Forest:
             up[max(a, b)] = min(a, b)
 
 
-def link_nodes(nodes: DataFrame, radius: int, wide_radius: int | None = None, block: int = 16_384, most_blocks: int = 128) -> DataFrame:
-    """Edges (a, b) that span every component of nodes(node, f0, f1, ...) under Hamming distance of f0 <= radius
+def link_nodes(nodes: DataFrame, radius: int, wide_radius: int | None = None, block: int = 16_384, most_blocks: int = 128, index: str = "f0") -> DataFrame:
+    """Edges (a, b) that span every component of nodes(node, f0, f1, ...) under Hamming distance of the part `index` <= radius
     and, if wide_radius is given, of all parts together <= wide_radius."""
-    parts = [c for c in nodes.columns if c[0] == "f" and c[1:].isdigit()]
-    ranked = nodes.withColumn("rank", _rank_column("f0"))
+    parts = [index, *(c for c in nodes.columns if c[0] == "f" and c[1:].isdigit() and c != index)]
+    ranked = nodes.withColumn("rank", _rank_column(index))
     n = ranked.count()
     blocks = max(1, -(-n // max(block, min(-(-n // most_blocks), 1 << 20))))
     cuts = np.zeros(0, np.int64)
@@ -239,17 +247,19 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFram
     return prints.join(of, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, k: int = 5, radius: int = 12, wide_radius: int = 46, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def drop_near_copies(docs: DataFrame, k: int = 5, radius: int = 12, wide_radius: int = 166, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs without near copies: of each group the row with the smallest doc_id (null last) stays.
 
-    Texts of equal words are copies. Others are linked if their 64-bit fingerprints differ in at most
-    `radius` bits and 256 bits of fingerprints in at most `wide_radius`: 46 of 256 is what texts of
-    Jaccard similarity 0.8 on their k-word shingles stay below nine times in ten.
+    Texts of equal words are copies. Others are linked if one of two 64-bit fingerprints differs in at
+    most `radius` bits and 1,024 bits of fingerprints in at most `wide_radius`. Texts of Jaccard
+    similarity 0.8 on their k-word shingles differ in about 155 of 1,024 bits, with a deviation of 11.5.
+    Each of the two fingerprints has its own Gray-order index; a text is missed only if both lie beyond the radius.
     """
-    prints = materialise(fingerprints(docs, k, extra=3), "prints")
-    wide = ["f0", "f1", "f2", "f3"]
-    nodes = materialise(prints.groupBy("content").agg(*(F.first(c).alias(c) for c in wide)), "nodes")
-    roots = components(link_nodes(nodes.select(F.col("content").alias("node"), *wide), radius, wide_radius))
+    wide = [f"f{i}" for i in range(16)]
+    prints = materialise(fingerprints(docs, k, extra=len(wide) - 1), "prints")
+    nodes = materialise(prints.groupBy("content").agg(*(F.first(c).alias(c) for c in wide)), "nodes").select(F.col("content").alias("node"), *wide)
+    roots = components(link_nodes(nodes, radius, wide_radius).unionByName(link_nodes(nodes, radius, wide_radius, index="f1")))
+    prints = prints.drop(*wide)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     of = prints.join(roots, prints["content"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "content").alias("root"))
     first = of.groupBy("root").agg(F.min(row).alias("kept"), F.count("*").alias("n"))

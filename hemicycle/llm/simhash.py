@@ -247,20 +247,78 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFram
     return prints.join(of, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, k: int = 5, radius: int = 12, wide_radius: int = 166, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def similar_pairs(docs: DataFrame, members: DataFrame, k: int, percent: int, cell: int = 512, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """Edges (a, b) that span, within each group of members(node, root, __id, __hash), the links of texts whose k-shingle sets have a Jaccard similarity of percent / 100 or more.
+
+    Exact on the sets: within a group every pair is compared unless links found before already join it.
+    A group of more than `cell` texts is dealt out as pairs of cells.
+    """
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / cell).alias("cells"))
+    picked = materialise(members.join(sizes, "root").withColumn("cell", F.pmod(F.xxhash64("node", "root"), "cells")), "candidates")
+    near = F.broadcast(picked) if picked.count() * 48 <= broadcast_bytes else picked
+    texts = docs.select(long_id("doc_id").alias("doc_id"), "text").join(near, F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash")))
+
+    def shingle_sets(batches):
+        for b in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(t or "", k)).tobytes() for t in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], names=["node", "root", "cell", "cells", "shingles"])
+
+    sets = texts.select("node", "root", "cell", "cells", "text").mapInArrow(shingle_sets, "node long, root long, cell long, cells long, shingles binary")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    dealt = sets.withColumn("other", other).select("root", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "node", "cell", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, at = np.unique(np.asarray(table.column("node").combine_chunks()), return_index=True)
+        side = np.asarray(table.column("cell").combine_chunks())[at] == table.column("lo")[0].as_py()
+        blobs = table.column("shingles").to_pylist()
+        sets = [np.frombuffer(blobs[i], np.uint64) for i in at]
+        size = np.array([len(x) for x in sets])
+        _, ids, shared = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(node)), size)
+        keep = shared[ids] > 1
+        ids, owner = ids[keep], owner[keep]
+        ends = np.searchsorted(owner, np.arange(len(node) + 1))
+        mark = np.zeros(len(shared), bool)
+        forest = _Forest(len(node))
+        for i in np.flatnonzero(side).tolist():
+            roots = forest.roots()
+            if (roots == roots[0]).all():
+                break
+            mine = ids[ends[i] : ends[i + 1]]
+            mark[mine] = True
+            common = np.bincount(owner[mark[ids]], minlength=len(node))
+            mark[mine] = False
+            hit = np.flatnonzero((100 * common >= percent * (size[i] + size - common)) & (roots != roots[i]))
+            if len(hit):
+                forest.join(np.full(len(hit), i), hit)
+        roots = forest.roots()
+        moved = np.flatnonzero(roots != np.arange(len(roots)))
+        return pa.table({"a": node[moved], "b": node[roots[moved]]})
+
+    return dealt.groupBy("root", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, radius: int = 12, wide_radius: int = 201, percent: int = 80, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs without near copies: of each group the row with the smallest doc_id (null last) stays.
 
-    Texts of equal words are copies. Others are linked if one of two 64-bit fingerprints differs in at
-    most `radius` bits and 1,024 bits of fingerprints in at most `wide_radius`. Texts of Jaccard
-    similarity 0.8 on their k-word shingles differ in about 155 of 1,024 bits, with a deviation of 11.5.
-    Each of the two fingerprints has its own Gray-order index; a text is missed only if both lie beyond the radius.
+    Texts of equal words are copies. Others are linked if the Jaccard similarity of their k-word
+    shingle sets is percent / 100 or more, compared exactly among the texts of a candidate group.
+    Candidate groups come from fingerprints: links where one of two 64-bit parts differs in at most
+    `radius` bits and all 1,024 bits in at most `wide_radius`. Texts of similarity 0.8 differ in about
+    155 of 1,024 bits, with a deviation of 11.5, so `wide_radius` lies four deviations beyond it. A
+    pair of 0.8 or more is missed if it is in no common candidate group: both 64-bit parts beyond the
+    radius (a few in a hundred at 0.8) or all bits beyond the wide one, and no chain of other texts.
     """
     wide = [f"f{i}" for i in range(16)]
     prints = materialise(fingerprints(docs, k, extra=len(wide) - 1), "prints")
     nodes = materialise(prints.groupBy("content").agg(*(F.first(c).alias(c) for c in wide)), "nodes").select(F.col("content").alias("node"), *wide)
-    roots = components(link_nodes(nodes, radius, wide_radius).unionByName(link_nodes(nodes, radius, wide_radius, index="f1")))
+    near = components(link_nodes(nodes, radius, wide_radius).unionByName(link_nodes(nodes, radius, wide_radius, index="f1")))
     prints = prints.drop(*wide)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    least = prints.join(near, prints["content"] == near["node"]).groupBy("node", "root").agg(F.min(row).alias("row"))
+    members = least.select("node", "root", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"))
+    roots = components(similar_pairs(docs, members, k, percent, broadcast_bytes=broadcast_bytes))
     of = prints.join(roots, prints["content"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "content").alias("root"))
     first = of.groupBy("root").agg(F.min(row).alias("kept"), F.count("*").alias("n"))
     groups = materialise(first.where("n > 1"), "groups")

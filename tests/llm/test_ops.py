@@ -223,6 +223,55 @@ def test_near_copies(spark):
     assert simhash.drop_near_copies(empty(spark)).count() == 0
 
 
+def test_near_copies_by_exact_similarity(spark):
+    rng = random.Random(11)
+
+    def pair(changes):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+        other = list(words)
+        for i in range(changes):  # each changes five shingles of its own
+            other[10 + 20 * i] = f"new{i}"
+        return " ".join(words), " ".join(other)
+
+    shingles = lambda t: set(zip(*(t.split()[i:] for i in range(5)), strict=False))
+    pairs = [pair(n) for n in (6, 8, 9, 11) for _ in range(30)]  # similarity 0.859, 0.817, 0.796, 0.756
+    rows = [(2 * i + j, t, "en", "s", 0) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, DOC)).collect()}
+    linked = [0] * 4
+    for i, (a, b) in enumerate(pairs):
+        a, b = shingles(a), shingles(b)
+        assert 2 * i in kept and (2 * i + 1 in kept or len(a & b) / len(a | b) >= 0.8)
+        linked[i // 30] += 2 * i + 1 not in kept
+    assert linked[0] >= 29 and linked[1] >= 27 and linked[2:] == [0, 0]
+
+
+def test_similar_pairs_in_cells(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.random()}" for _ in range(120)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 5)):
+            words[at] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC)
+    members = docs.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("root"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    up = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                up = [up[i] if u == up[j] else u for u in up]
+    want = sorted(sorted(i for i in range(60) if up[i] == u) for u in set(up))
+    for cell in (512, 7):
+        root = {r.node: r.root for r in simhash.components(simhash.similar_pairs(docs, members, 5, 80, cell=cell)).collect()}
+        got = collections.defaultdict(list)
+        for i in range(60):
+            got[root.get(i, i)].append(i)
+        assert sorted(got.values()) == want
+    assert len(want) > 1
+
+
 def test_token_bins(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer

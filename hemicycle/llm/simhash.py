@@ -61,10 +61,11 @@ def majority(hashes: np.ndarray) -> int:
     return majorities(hashes)[0]
 
 
-def fingerprints(docs: DataFrame, k: int = 5, extra: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 5, extra: int = 0, distinct: bool = False) -> DataFrame:
     """doc_id, text_hash, content (a hash of the lower-cased words) and the fingerprint's 64-bit parts f0, f1, ...
 
     f0 is the fingerprint of the shingles' own hashes; `extra` more parts come from remixed hashes.
+    A repeated shingle counts each time, or once if `distinct`.
     """
     names = [f"f{i}" for i in range(extra + 1)]
 
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, k: int = 5, extra: int = 0) -> DataFrame:
             rows, content = [], []
             for text in b.column(2).to_pylist():
                 h = shingle_hashes(text or "", k)
-                rows.append(majorities(h, extra))
+                rows.append(majorities(np.unique(h) if distinct else h, extra))
                 content.append(xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), 7))
             parts = np.array(rows, np.uint64).reshape(-1, extra + 1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -303,14 +304,14 @@ def drop_near_copies(docs: DataFrame, k: int = 5, radius: int = 12, wide_radius:
 
     Texts of equal words are copies. Others are linked if the Jaccard similarity of their k-word
     shingle sets is percent / 100 or more, compared exactly among the texts of a candidate group.
-    Candidate groups come from fingerprints: links where one of two 64-bit parts differs in at most
+    Candidate groups come from fingerprints of distinct shingles: links where one of two 64-bit parts differs in at most
     `radius` bits and all 1,024 bits in at most `wide_radius`. Texts of similarity 0.8 differ in about
     155 of 1,024 bits, with a deviation of 11.5, so `wide_radius` lies four deviations beyond it. A
     pair of 0.8 or more is missed if it is in no common candidate group: both 64-bit parts beyond the
     radius (a few in a hundred at 0.8) or all bits beyond the wide one, and no chain of other texts.
     """
     wide = [f"f{i}" for i in range(16)]
-    prints = materialise(fingerprints(docs, k, extra=len(wide) - 1), "prints")
+    prints = materialise(fingerprints(docs, k, extra=len(wide) - 1, distinct=True), "prints")
     nodes = materialise(prints.groupBy("content").agg(*(F.first(c).alias(c) for c in wide)), "nodes").select(F.col("content").alias("node"), *wide)
     near = components(link_nodes(nodes, radius, wide_radius).unionByName(link_nodes(nodes, radius, wide_radius, index="f1")))
     prints = prints.drop(*wide)

@@ -245,6 +245,16 @@ def test_near_copies_by_exact_similarity(spark):
     assert linked[0] >= 29 and linked[1] >= 27 and linked[2:] == [0, 0]
 
 
+def test_near_copies_with_repeated_passage(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(10):
+        words, passage = (["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)] for n in (304, 12))
+        rows += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(words + passage * 5), "en", "s", 0)]  # similarity 0.949
+    out = simhash.drop_near_copies(spark.createDataFrame(rows, DOC))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 20, 2))
+
+
 def test_similar_pairs_in_cells(spark):
     rng = random.Random(12)
     base = [f"w{rng.random()}" for _ in range(120)]

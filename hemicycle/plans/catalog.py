@@ -370,8 +370,8 @@ m AS (SELECT grid.month, a.v AS said, b.v AS did FROM grid LEFT JOIN a ON a.mont
 
 
 def _months(spark, d):
-    a = _t(spark, d, "orders").where("o_custkey % 50 = 0").select(F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("index"))
-    b = _t(spark, d, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_shipdate").alias("date"), F.col("l_extendedprice").alias("index"))
+    a = _t(spark, d, "orders").select(F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("index"))
+    b = _t(spark, d, "lineitem").select(F.col("l_shipdate").alias("date"), F.col("l_extendedprice").alias("index"))
     return P.monthly_grid(said=a, did=b)
 
 

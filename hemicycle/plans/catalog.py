@@ -224,7 +224,7 @@ def bridge_two_hop(spark, d):
     li = _t(spark, d, "lineitem")
     refs = li.groupBy(F.col("l_suppkey").alias("session"), F.col("l_linenumber").alias("code")).agg(F.to_json(F.collect_set(F.col("l_orderkey").cast("string"))).alias("ref_ids"))
     votes = li.select(F.col("l_suppkey").alias("session"), F.col("l_linenumber").alias("code"), F.col("l_partkey").alias("vote_id"))
-    items = _t(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("item_id"))
+    items = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("item_id"))
     return R.bridge(items, refs, votes)
 
 

@@ -1,31 +1,38 @@
-"""SimHash near-dedup (8) over a Gray-order hierarchical index.
+"""SimHash near-dedup (8) over Gray-order hierarchical indexes.
 
 Fingerprints are 64 bits; a bit is 1 if it is set in more than half of the text's shingle hashes.
-Equal fingerprints are one node. Nodes are cut into blocks by their rank in Gray order, where
-neighbours share most leading bits; a block's shared leading bits are its upper node, and pairs of
-blocks whose shared bits already differ too much are never formed. Within a pair of blocks the
-sorted fingerprints stand under a 16-way hierarchy whose nodes hold the masked pattern their members
-share; pairs of nodes whose accumulated differences exceed the radius are pruned with all below
-them. A block pair returns a spanning forest of the links it found, never all pairs of a group, and
+Equal fingerprints are one node. An index holds the nodes in Gray order, where neighbours share most
+leading bits. Its upper nodes are the blocks of equal leading bits; two blocks are never compared in
+an index whose upper nodes differ. Within a block the sorted fingerprints stand under a 16-way
+hierarchy whose nodes hold the masked pattern their members share; pairs of nodes whose accumulated
+differences exceed the radius are pruned with all below them, and so are nodes that one component
+holds already. A block returns a spanning forest of its links, never all pairs of a group, and
 components are joined by distributed star operations.
 
-null and empty texts, and texts without words, have fingerprint zero and link like any other. A
-null doc_id is a row of its own that never names a component. Repeated rows share a fingerprint, so
-a component. Empty table: no rows.
+`simhash_components` is exact: the 64 bits are cut into radius + 1 segments, and each has an index of
+the fingerprints rotated to begin with it; two fingerprints within the radius agree on one segment
+at least, so they meet in that index's block. `drop_near_copies` searches indexes of independent
+fingerprints and confirms every link by the exact similarity of the shingle sets.
+
+null and empty texts, and texts without words, have fingerprint zero (near copies: no shingles) and
+link like any other. A null doc_id is a row of its own that never names a component. Repeated rows
+share a fingerprint, so a component. Ties do not arise: components are named by their least doc_id.
+Very long texts are fingerprinted whole, in bounded pieces. Other columns are kept by
+`drop_near_copies`, whatever their names, and ignored elsewhere. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemicycle.llm._shared import long_id, materialise, mix64, slices
+from hemicycle.llm._shared import long_id, materialise, mix64, partitions, slices
 from hemicycle.llm.components import components
 
 LEAF = 16
@@ -93,13 +100,6 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _rank_column(name: str):
-    x = F.col(name)
-    for s in (1, 2, 4, 8, 16, 32):
-        x = x.bitwiseXOR(F.shiftrightunsigned(x, s))
-    return x.bitwiseXOR(F.lit(-(1 << 63)))  # signed order as unsigned order
-
-
 class _Tree:
     """The masked patterns that runs of 16, 256, ... sorted fingerprints share."""
 
@@ -116,20 +116,65 @@ class _Tree:
             self.levels.append((ones, ~(ones ^ some)))
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int):
-    """Yield index arrays (i, j) of fingerprints within the radius; y None: pairs within x, i < j. Sorted inputs prune best."""
+class _Forest:
+    """Disjoint sets of array positions."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while True:
+            nxt = self.up[self.up]
+            if (nxt == self.up).all():
+                return self.up
+            self.up = nxt
+
+    def join(self, p: np.ndarray, q: np.ndarray) -> None:
+        r = self.roots()
+        ends = np.unique(np.sort(np.stack([r[p], r[q]], 1), axis=1), axis=0)
+        up = self.up
+        for a, b in ends[ends[:, 0] != ends[:, 1]].tolist():
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            up[max(a, b)] = min(a, b)
+
+    def whole(self, levels: int) -> list[np.ndarray]:
+        """By tree level, the component that all positions under each tree node belong to, or -1."""
+        now, out = self.roots(), []
+        for _ in range(levels):
+            now = np.concatenate([now, np.repeat(now[-1:], -len(now) % LEAF)]).reshape(-1, LEAF)
+            now = np.where((now == now[:, :1]).all(1), now[:, 0], -1)
+            out.append(now)
+        return out
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int, forest: _Forest | None = None):
+    """Yield index arrays (i, j) of fingerprints within the radius; y None: pairs within x, i < j. Sorted inputs prune best.
+
+    With a forest over x (and y None), groups that are one tree of it by now are passed over: pairs
+    inside one component, which add nothing to it, may be left out.
+    """
     a = _Tree(x)
     b = _Tree(y) if y is not None else a
     same = y is None
     depth = min(len(a.levels), len(b.levels)) - 1
     i, j = np.divmod(np.arange(len(a.levels[depth][0]) * len(b.levels[depth][0])), len(b.levels[depth][0]))
     stack = [(depth, i, j)]
+    joined, work = None, 0
     while stack:
         level, i, j = stack.pop()
         if same:
             i, j = i[i <= j], j[i <= j]
         (pa_, ma), (pb, mb) = a.levels[level], b.levels[level]
         ok = np.bitwise_count((pa_[i] ^ pb[j]) & ma[i] & mb[j]) <= radius
+        if forest is not None:
+            work += len(i) * (LEAF if level else LEAF * LEAF)
+            if work >= 16 * a.n:
+                joined, work = forest.whole(len(a.levels)), 0
+            if joined is not None:
+                ok &= (joined[level][i] < 0) | (joined[level][i] != joined[level][j])
         i, j = i[ok], j[ok]
         step = 2048
         if len(i) > step:
@@ -150,91 +195,75 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int):
             yield p[ok], q[ok]
 
 
-class _Forest:
-    """Disjoint sets of array positions."""
+def _runs(batches):
+    """The rows of each run of equal keys (first column) as one array."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        rows = np.stack([np.asarray(c, np.int64) for c in b.columns], 1)
+        pieces = np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1) if len(rows) else []
+        if pieces and held and held[0][0, 0] == pieces[0][0, 0]:
+            held.append(pieces.pop(0))
+        if pieces:
+            if held:
+                yield np.concatenate(held)
+            yield from pieces[:-1]
+            held = pieces[-1:]
+    if held:
+        yield np.concatenate(held)
+
+
+def block_links(rows: DataFrame, radius: int, both: int | None = None) -> DataFrame:
+    """Edges (a, b) from each node to the least of its component in each block of rows(key, node, code[, check]).
+
+    A block is the rows of one key: codes that share their leading bits. Codes link within `radius`
+    bits and, if `both` is given, code and check together within `both`. place is the node's number
+    (from 0) among its component's nodes in the block.
+    """
 
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+    def search(batches):
+        for rows in _runs(batches):
+            if len(rows) < 2:
+                continue
+            rows = rows[np.argsort(gray_rank(rows[:, 2].copy().view(np.uint64)), kind="stable")]
+            node, code = rows[:, 1].copy(), rows[:, 2].copy().view(np.uint64)
+            forest = _Forest(len(rows))
+            for p, q in near_pairs(code, None, radius, forest):
+                if both is not None:
+                    check = rows[:, 3].copy().view(np.uint64)
+                    far = np.bitwise_count(code[p] ^ code[q]) + np.bitwise_count(check[p] ^ check[q])
+                    p, q = p[far <= both], q[far <= both]
+                if len(p):
+                    forest.join(p, q)
+            roots = forest.roots()
+            order = np.lexsort((node, roots))
+            first = np.searchsorted(roots[order], roots[order], "left")
+            place = np.arange(len(order)) - first
+            moved = np.flatnonzero(place)
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(node[order[moved]]), pa.array(node[order[first[moved]]]), pa.array(place[moved])], names=["a", "b", "place"])
 
-    def roots(self) -> np.ndarray:
-        while True:
-            nxt = self.up[self.up]
-            if (nxt == self.up).all():
-                return self.up
-            self.up = nxt
+    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long, place long")
 
-    def join(self, p: np.ndarray, q: np.ndarray) -> None:
-        r = self.roots()
-        ends = np.unique(np.sort(np.stack([r[p], r[q]], 1), axis=1), axis=0)
-        up = self.up
-        for a, b in ends[ends[:, 0] != ends[:, 1]].tolist():
-            while up[a] != a:
-                a = up[a]
-            while up[b] != b:
-                b = up[b]
-            up[max(a, b)] = min(a, b)
 
+def _leading(code, bits: int):
+    return F.shiftrightunsigned(code, 64 - bits) if bits else F.lit(0).cast("long")
 
-def link_nodes(nodes: DataFrame, radius: int, wide_radius: int | None = None, block: int = 16_384, most_blocks: int = 128, index: str = "f0") -> DataFrame:
-    """Edges (a, b) that span every component of nodes(node, f0, f1, ...) under Hamming distance of the part `index` <= radius
-    and, if wide_radius is given, of all parts together <= wide_radius."""
-    parts = [index, *(c for c in nodes.columns if c[0] == "f" and c[1:].isdigit() and c != index)]
-    ranked = nodes.withColumn("rank", _rank_column(index))
-    n = ranked.count()
-    blocks = max(1, -(-n // max(block, min(-(-n // most_blocks), 1 << 20))))
-    cuts = np.zeros(0, np.int64)
-    if blocks > 1:
-        cuts = np.unique(np.array(ranked.agg(F.percentile_approx("rank", [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0], np.int64))
-    # Upper nodes: the bits that a block's least and greatest rank, so all its codes, have in common.
-    edge = (cuts.view(np.uint64) ^ np.uint64(1 << 63)).tolist()
-    low, high = [0, *edge], [*(e - 1 if e else 0 for e in edge), (1 << 64) - 1]
-    upper = []
-    for lo, hi in zip(low, high, strict=True):
-        free = (lo ^ hi).bit_length()
-        upper.append((lo ^ (lo >> 1), ((1 << 64) - 1) >> free << free))
-    near = [[j for j in range(len(upper)) if ((upper[i][0] ^ upper[j][0]) & upper[i][1] & upper[j][1]).bit_count() <= radius] for i in range(len(upper))]
-    width = len(upper)
-
-    def deal(batches):
-        for b in batches:
-            rank = np.asarray(b.column(b.schema.get_field_index("rank")))
-            of = np.searchsorted(cuts, rank, "right")
-            order = np.argsort(of, kind="stable")
-            data = np.stack([np.asarray(b.column(b.schema.get_field_index(c)))[order] for c in ["node", *parts]], 1)
-            at = np.searchsorted(of[order], np.arange(width + 1))
-            for i in range(width):
-                if at[i] < at[i + 1]:
-                    blob = data[at[i] : at[i + 1]].tobytes()
-                    keys = [min(i, j) * width + max(i, j) for j in near[i]]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([i] * len(keys), pa.int32()), pa.array([blob] * len(keys), pa.binary())], names=["pair", "side", "blob"])
-
-    def search(table: pa.Table) -> pa.Table:
-        pair = table.column("pair")[0].as_py()
-        sides = {}
-        for i in {pair // width, pair % width}:
-            blobs = table.filter(pc.equal(table.column("side"), i)).column("blob").to_pylist()
-            rows = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, len(parts) + 1)
-            sides[i] = rows[np.argsort(gray_rank(rows[:, 1].view(np.uint64) if rows.flags.c_contiguous and rows.shape[1] == 1 else rows[:, 1].copy().view(np.uint64)), kind="stable")]
-        x = sides[pair // width]
-        y = None if len(sides) == 1 else sides[pair % width]
-        both = x if y is None else np.concatenate([x, y])
-        forest = _Forest(len(both))
-        if len(x) and (y is None or len(y)):
-            code = lambda r: r[:, 1].copy().view(np.uint64)
-            for p, q in near_pairs(code(x), None if y is None else code(y), radius):
-                q = q if y is None else q + len(x)
-                if wide_radius is not None:
-                    far = np.zeros(len(p), np.int64)
-                    for c in range(1, both.shape[1]):
-                        far += np.bitwise_count(both[p, c].view(np.uint64) ^ both[q, c].view(np.uint64))
-                    p, q = p[far <= wide_radius], q[far <= wide_radius]
-                if len(p):
-                    forest.join(p, q)
-        roots = forest.roots()
-        moved = np.flatnonzero(roots != np.arange(len(roots)))
-        return pa.table({"a": both[moved, 0], "b": both[roots[moved], 0]})
 
-    return ranked.mapInArrow(deal, "pair long, side int, blob binary").groupBy("pair").applyInArrow(search, "a long, b long")
+def link_nodes(nodes: DataFrame, radius: int, block: int = 1024, most_blocks: int = 1 << 20) -> DataFrame:
+    """Edges (a, b) that span every component of nodes(node, f0) under Hamming distance <= radius, exactly.
+
+    `block` is the mean number of nodes in a block that is aimed at, within what the radius and
+    `most_blocks` allow.
+    """
+    n, segments = nodes.count(), radius + 1
+    bits = max(0, min(64 // segments, (max(n, 1) // block).bit_length(), most_blocks.bit_length() - 1))
+    turned = []
+    for i in range(segments if bits else 1):
+        at = i * 64 // segments
+        code = F.shiftleft("f0", at).bitwiseOR(F.shiftrightunsigned("f0", 64 - at)) if at else F.col("f0")
+        turned.append(F.struct((_leading(code, bits) * segments + i).alias("key"), "node", code.alias("code")))
+    rows = nodes.select(F.explode(F.array(*turned)).alias("r")).select("r.*")
+    return block_links(rows, radius).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
@@ -248,31 +277,58 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFram
     return prints.join(of, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_pairs(docs: DataFrame, members: DataFrame, k: int, percent: int, cell: int = 512, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def similar_pairs(docs: DataFrame, members: DataFrame, k: int, percent: int, cell: int = 1024, cell_shingles: int = 400_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Edges (a, b) that span, within each group of members(node, root, __id, __hash), the links of texts whose k-shingle sets have a Jaccard similarity of percent / 100 or more.
 
-    Exact on the sets: within a group every pair is compared unless links found before already join it.
-    A group of more than `cell` texts is dealt out as pairs of cells.
+    Exact on the sets, and no pair is compared that links found before already join. A group is cut
+    into cells of about `cell` texts or `cell_shingles` shingles. First each cell's texts are
+    compared; then one text of each component found, of all cells of a group; then, if the group is not
+    one component by now, each text outside its largest component with every text of the group.
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / cell).alias("cells"))
-    picked = materialise(members.join(sizes, "root").withColumn("cell", F.pmod(F.xxhash64("node", "root"), "cells")), "candidates")
-    near = F.broadcast(picked) if picked.count() * 48 <= broadcast_bytes else picked
+    near = F.broadcast(members) if members.count() * 40 <= broadcast_bytes else members
     texts = docs.select(long_id("doc_id").alias("doc_id"), "text").join(near, F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash")))
 
     def shingle_sets(batches):
+        seen: set[int] = set()  # of repeated rows one is enough
         for b in slices(batches, "text"):
-            sets = [np.unique(shingle_hashes(t or "", k)).tobytes() for t in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], names=["node", "root", "cell", "cells", "shingles"])
-
-    sets = texts.select("node", "root", "cell", "cells", "text").mapInArrow(shingle_sets, "node long, root long, cell long, cells long, shingles binary")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
-    dealt = sets.withColumn("other", other).select("root", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "node", "cell", "shingles")
+            rows = [(node, root, text) for node, root, text in zip(*(c.to_pylist() for c in b.columns), strict=True) if node not in seen and not seen.add(node)]
+            sets = [np.unique(shingle_hashes(text or "", k)).tobytes() for _, _, text in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(sets, pa.binary())], names=["node", "root", "shingles"])
+
+    sets = materialise(texts.select("node", "root", "text").mapInArrow(shingle_sets, "node long, root long, shingles binary"), "sets")
+    cells = F.ceil(F.greatest(F.count("*") / cell, F.sum(F.length("shingles")) / (8 * cell_shingles)))
+    many = materialise(sets.groupBy("root").agg(cells.alias("cells")).where("cells > 1"), "many-cells")
+    few = many.count()
+    if not few:
+        return _compare(sets.withColumns({"cell": F.lit(0).cast("long"), "probe": F.lit(True), "tree": F.col("node")}), percent)
+    dealt = sets.join(F.broadcast(many) if few * 16 <= broadcast_bytes else many, "root", "left").withColumn("cells", F.coalesce("cells", F.lit(1).cast("long")))
+    dealt = dealt.withColumns({"cell": F.pmod(F.xxhash64("node"), F.col("cells")), "probe": F.lit(True), "tree": F.col("node")})
+    inside = materialise(_compare(dealt, percent), "links-inside")
+    found = components(inside)
+    large = dealt.where("cells > 1").drop("tree").join(found.select("node", F.col("root").alias("tree")), "node", "left").withColumn("tree", F.coalesce("tree", "node"))
+    first = large.where(F.col("tree") == F.col("node")).withColumn("cell", F.pmod(F.xxhash64("node"), F.ceil(F.col("cells") / cell)))
+    across = materialise(_compare(first, percent), "links-across")
+    found = components(inside.unionByName(across))
+    large = large.drop("tree").join(found.select("node", F.col("root").alias("tree")), "node", "left").withColumn("tree", F.coalesce("tree", "node"))
+    trees = large.groupBy("root", "tree").agg(F.count("*").alias("n"))
+    main = trees.groupBy("root").agg(F.max(F.struct("n", "tree"))["tree"].alias("main"), F.count("*").alias("trees")).where("trees > 1")
+    large = large.join(main, "root").withColumn("probe", F.col("tree") != F.col("main"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    own = large.select("root", "cell", "node", "tree", "shingles", F.lit(False).alias("probe"))
+    sent = large.where("probe").select("root", every.alias("cell"), "node", "tree", "shingles", "probe")
+    return inside.unionByName(across).unionByName(_compare(own.unionByName(sent), percent))
+
+
+def _compare(rows: DataFrame, percent: int) -> DataFrame:
+    """Links within each (root, cell) of rows(root, cell, node, tree, shingles, probe): of probes with all texts that are not of one tree."""
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("node", "ascending"), ("probe", "descending")])  # a text that is here twice counts as probe
         node, at = np.unique(np.asarray(table.column("node").combine_chunks()), return_index=True)
-        side = np.asarray(table.column("cell").combine_chunks())[at] == table.column("lo")[0].as_py()
-        blobs = table.column("shingles").to_pylist()
-        sets = [np.frombuffer(blobs[i], np.uint64) for i in at]
+        probe = table.column("probe").to_numpy(zero_copy_only=False)[at]
+        _, head, tree = np.unique(np.asarray(table.column("tree").combine_chunks())[at], return_index=True, return_inverse=True)
+        blobs = table.column("shingles")
+        sets = [np.frombuffer(blobs[i].as_py(), np.uint64) for i in at.tolist()]
         size = np.array([len(x) for x in sets])
         _, ids, shared = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(node)), size)
@@ -281,7 +337,9 @@ def similar_pairs(docs: DataFrame, members: DataFrame, k: int, percent: int, cel
         ends = np.searchsorted(owner, np.arange(len(node) + 1))
         mark = np.zeros(len(shared), bool)
         forest = _Forest(len(node))
-        for i in np.flatnonzero(side).tolist():
+        forest.up = head[tree]
+        start = forest.up.copy()
+        for i in np.flatnonzero(probe).tolist():
             roots = forest.roots()
             if (roots == roots[0]).all():
                 break
@@ -293,38 +351,70 @@ def similar_pairs(docs: DataFrame, members: DataFrame, k: int, percent: int, cel
             if len(hit):
                 forest.join(np.full(len(hit), i), hit)
         roots = forest.roots()
-        moved = np.flatnonzero(roots != np.arange(len(roots)))
+        moved = np.flatnonzero(roots != start)
         return pa.table({"a": node[moved], "b": node[roots[moved]]})
 
-    return dealt.groupBy("root", "lo", "hi").applyInArrow(compare, "a long, b long")
+    held = rows.select("root", "cell", "node", "tree", "shingles", "probe")
+    return held.groupBy("root", "cell").applyInArrow(compare, "a long, b long")
+
+
+def meeting(leading: int, radius: int, both: int, percent: int) -> float:
+    """The chance that two texts of that similarity agree on the leading bits of an index and link there."""
+    p = math.acos(2 * percent / (100 + percent)) / math.pi  # that a bit differs
+    chance = lambda n, d: math.comb(n, d) * p**d * (1 - p) ** (n - d)
+    rest = 64 - leading
+    return (1 - p) ** leading * sum(chance(rest, d) * sum(chance(64, e) for e in range(both - d + 1)) for d in range(min(radius, rest) + 1))
+
+
+def plan_indexes(n: int, radius: int, both: int, percent: int, recall: float, block: int) -> tuple[int, int]:
+    """Leading bits for blocks of about `block` nodes, and how many indexes then find a pair at the threshold with probability `recall`."""
+    leading = max(0, math.ceil(math.log2(max(n, 1) / block)))
+    return leading, max(2, math.ceil(math.log(1 - recall) / math.log(1 - meeting(leading, radius, both, percent))))
+
+
+def candidate_links(nodes: DataFrame, leading: int, indexes: int, radius: int, both: int, reps: int, salt_rows: int) -> DataFrame:
+    """Edges (a, b) of nodes(node, f0, f1, ...) that link in one of the indexes (one of each part).
+
+    A first pass over the first index, whose blocks are salted by a hash of the node, thins out large
+    groups: of a group of more than `reps` nodes in a salted block the least `reps` stand for it in
+    what follows, so a block of a third of all nodes is no larger than others by more than that.
+    """
+    salts = max(1, nodes.count() // salt_rows)
+    key = _leading(F.col("f0"), leading) * salts + F.pmod(F.xxhash64("node"), F.lit(salts))
+    thin = materialise(block_links(nodes.select(key.alias("key"), "node", F.col("f0").alias("code"), F.col("f1").alias("check")), radius, both), "first-links")
+    kept = nodes.join(thin.where(F.col("place") >= reps).select(F.col("a").alias("node")), "node", "left_anti")
+    index = [F.struct((_leading(F.col(f"f{i}"), leading) * indexes + i).alias("key"), "node", F.col(f"f{i}").alias("code"), F.col(f"f{(i + 1) % indexes}").alias("check")) for i in range(indexes)]
+    rows = kept.select(F.explode(F.array(*index)).alias("r")).select("r.*")
+    return thin.unionByName(block_links(rows, radius, both)).select("a", "b")
 
 
-def drop_near_copies(docs: DataFrame, k: int = 5, radius: int = 12, wide_radius: int = 201, percent: int = 80, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.98, radius: int = 13, both: int = 28, block: int = 4096, reps: int = 64, salt_rows: int = 65_536, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs without near copies: of each group the row with the smallest doc_id (null last) stays.
 
     Texts of equal words are copies. Others are linked if the Jaccard similarity of their k-word
     shingle sets is percent / 100 or more, compared exactly among the texts of a candidate group.
-    Candidate groups come from fingerprints of distinct shingles: links where one of two 64-bit parts differs in at most
-    `radius` bits and all 1,024 bits in at most `wide_radius`. Texts of similarity 0.8 differ in about
-    155 of 1,024 bits, with a deviation of 11.5, so `wide_radius` lies four deviations beyond it. A
-    pair of 0.8 or more is missed if it is in no common candidate group: both 64-bit parts beyond the
-    radius (a few in a hundred at 0.8) or all bits beyond the wide one, and no chain of other texts.
+    Candidate groups come from Gray-order indexes of independent fingerprints of the distinct shingles
+    (64-bit parts, each checked against the next one): links of equal leading bits that differ in at most
+    `radius` bits of the part and `both` of the two. The leading bits follow the number of texts, and the number
+    of indexes follows from them such that a pair at the threshold is found with the probability `recall`
+    (more alike pairs more surely), at any size. Blocks keep their size, so the work of an index is in
+    proportion to the texts; the indexes grow with their number to the power of 0.24.
     """
-    wide = [f"f{i}" for i in range(16)]
-    prints = materialise(fingerprints(docs, k, extra=len(wide) - 1, distinct=True), "prints")
-    nodes = materialise(prints.groupBy("content").agg(*(F.first(c).alias(c) for c in wide)), "nodes").select(F.col("content").alias("node"), *wide)
-    near = components(link_nodes(nodes, radius, wide_radius).unionByName(link_nodes(nodes, radius, wide_radius, index="f1")))
-    prints = prints.drop(*wide)
+    leading, indexes = plan_indexes(docs.count(), radius, both, percent, recall, block)
+    parts = [f"f{i}" for i in range(indexes)]
+    prints = materialise(fingerprints(docs, k, extra=indexes - 1, distinct=True), "prints")
+    nodes = materialise(prints.groupBy(F.col("content").alias("node")).agg(*(F.first(c).alias(c) for c in parts)), "nodes")
+    near = components(candidate_links(nodes, leading, indexes, radius, both, reps, salt_rows))
+    prints = prints.drop(*parts)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     least = prints.join(near, prints["content"] == near["node"]).groupBy("node", "root").agg(F.min(row).alias("row"))
-    members = least.select("node", "root", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"))
+    members = materialise(least.select("node", "root", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")), "candidates")
     roots = components(similar_pairs(docs, members, k, percent, broadcast_bytes=broadcast_bytes))
     of = prints.join(roots, prints["content"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "content").alias("root"))
     first = of.groupBy("root").agg(F.min(row).alias("kept"), F.count("*").alias("n"))
     groups = materialise(first.where("n > 1"), "groups")
-    mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    copies = materialise(of.join(groups, "root").withColumn("stays", mine.eqNullSafe(F.col("kept"))).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays").agg(F.count("*").alias("n")), "copies")
+    copies = materialise(of.join(groups, "root").withColumn("stays", row.eqNullSafe(F.col("kept"))).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays").agg(F.count("*").alias("n")), "copies")
     n, repeats = copies.agg(F.count("*"), F.count(F.when(F.col("stays") & (F.col("n") > 1), 1))).first()
 
     def on(rows: DataFrame, how: str) -> DataFrame:

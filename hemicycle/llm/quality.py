@@ -26,6 +26,8 @@ from hemicycle.llm._shared import doc_words, long_id, materialise, mix64, per_te
 
 _BLANK = " \t\n\v\f\r"
 _SLICES = 16
+#: Text that is counted at once; a word of it takes some 150 bytes of arrays.
+_SLICE_BYTES = 2 << 20
 
 
 def features(codes: np.ndarray, words: pa.Array, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, trusted_rows: int =
 
     def count(batches):
         raw, good = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", _SLICE_BYTES):
             codes, words, offsets = doc_words(b.column(1), lower=False)
             one, two = features(codes, words, offsets, bits)
             mine = np.repeat(np.asarray(b.column(0)).astype(bool), np.diff(offsets))
@@ -125,7 +127,7 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = -0.25) -> Data
 
     def work(batches):
         ratio = shared.value
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", _SLICE_BYTES):
             text = pc.fill_null(b.column(2), "")
             codes, words, offsets = doc_words(text, lower=False)
             one, two = features(codes, words, offsets, bits)

@@ -36,7 +36,7 @@ NONE = np.float32("-inf")
 class PieceModel:
     """A BPE model's pieces, as the lattice and the decoder need them."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 100_000):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -50,8 +50,8 @@ class PieceModel:
         self.byte_id = {byte_of[p]: i for i, p in enumerate(names) if p in byte_of and special[i]}
         self.unknown = sp.unk_id()
         self.text = [byte_of[p] if p in byte_of and s else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode() for i, (p, s) in enumerate(zip(names, special, strict=True))]
-        self.canonical = lru_cache(100_000)(lambda p: self.merge(p) == [p])
-        self.agree = lru_cache(400_000)(lambda a, b: self.merge(a + b) == [a, b])
+        self.canonical = lru_cache(50_000)(lambda p: self.merge(p) == [p])
+        self.agree = lru_cache(100_000)(lambda a, b: self.merge(a + b) == [a, b])
         self.runs = Cache(lambda r: np.array(sp.encode(r[1:].replace(MARK, " ")), "<u4").tobytes() if r[0] == MARK and len(r) > 1 else self.ids(self.merge(r)), most)
 
     def merge(self, s: str) -> list[str]:

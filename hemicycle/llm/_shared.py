@@ -1,13 +1,12 @@
 """Helpers that the training-data operators share.
 
 Everything that has to outlive one task goes to the folder named by ``spark.checkpoint.dir``,
-which the driver and all executors see. Workers reach it through ``pyarrow.fs``; where the
-folder is a mounted file system its files are memory-mapped.
+which the driver and all executors see (hemicycle.storage). Workers reach it through ``pyarrow.fs``; where
+the folder is a mounted file system its files are memory-mapped.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,39 +15,25 @@ import pyarrow as pa
 import pyarrow.compute
 import zstandard
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from hemicycle.storage import run_folder, written
+
 #: One word: a run of characters that are neither space nor U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hemicycle-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
-
-
 def new_folder(spark: SparkSession, tag: str) -> str:
-    """A path under the shared folder that nothing else uses; files in it may be created by any worker."""
-    path = f"{shared_root(spark)}/hemicycle/{tag}-{uuid.uuid4().hex}"
+    """A path in the run's folder that nothing else uses; files in it may be created by any worker. It goes with the run."""
+    path = f"{run_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     fs, local = open_fs(path)
     fs.create_dir(local, recursive=True)
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
-    path = f"{shared_root(df.sparkSession)}/hemicycle/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+#: Write a frame as Parquet in the run's folder and read it back.
+materialise = written
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:

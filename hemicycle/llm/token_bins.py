@@ -5,8 +5,9 @@ Each part's task writes its ids (uint16 where the vocabulary allows, else uint32
 ids and lengths; the parts' totals are summed to prefix sums, and each part's 64-bit offsets (counted
 from the start of the first part) are written from its base. Readers memory-map the files.
 
-null text: encoded as empty (the end id alone). null doc_id: last. Repeated doc_ids: each row is kept,
-rows of one id ordered by a hash of their text. Empty table: an empty manifest, no rows.
+null text: encoded as empty (the end id alone). null doc_id: last. Repeated doc_ids (ties): each row is kept,
+rows of one id ordered by a hash of their text. Very long texts are encoded whole, stretch by stretch.
+Empty table: an empty manifest, no rows. Other columns are ignored, whatever their names.
 A file is named after the task attempt that wrote it and only files in the manifest are read, so
 lost executors and repeated attempts do no harm.
 """
@@ -50,8 +51,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fol
         for b in slices(batches, "text"):
             out = out or fs.open_output_stream(f"{local}.ids", buffer_size=1 << 20)
             for text in b.column(1).to_pylist():
-                tokens = pieces.tokens(text or "")
-                data = pieces.whole(text) if tokens is None else b"".join(map(pieces.cache.__getitem__, tokens))
+                data = b"".join(pieces.of(text or ""))
                 out.write(data)
                 out.write(end)
                 lengths.append(len(data) // width + 1)

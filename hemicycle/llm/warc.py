@@ -4,15 +4,19 @@ Writing. Payload digests are reduced to the largest page_id of each payload that
 that table is broadcast if it is small (its size is checked) and joined by shuffle otherwise. Each
 task then writes one archive of gzip members, a record each: the full response for the chosen page,
 a revisit that refers to it for the others.
-Reading. Each archive is read back into a capture run, sorted by URL key, timestamp and page_id. Split
-points come from a few keys of each archive. A run is cut at them into sorted slices, and for each
-range a task merges its slices of all runs with a loser tree, so ranges and rows within them are
-the globally ordered capture history.
+Reading. Each archive is read back record by record. Its captures are sorted by URL key, timestamp and
+page_id in runs of bounded size, each of which is written to a file of small blocks. Split points from
+the keys of a bounded number of archives cut the key space into ranges, and a run's slice in each range
+is known by its rows. For each range a task merges its slices of all runs with a loser tree that holds
+one block of each run, so ranges and rows within them are the globally ordered capture history. More
+runs than `fan_in` are first merged in groups, pass by pass. Captures of equal keys (ties) stand in the
+order of their runs' names and places.
 
 null html: an empty payload. null url: an empty key. null page_id: a record without target name that
 revisits the others of its payload; a payload that only such rows have is all response. Rows that repeat the
-chosen page are responses each. Empty table: no archive and no rows.
-Archives are named after the task attempt that wrote them, and only those in the manifest are read.
+chosen page are responses each. Very long pages are records like others, held one at a time. Empty table:
+no archive and no rows. Other columns are ignored, whatever their names.
+Archives and runs are named after the task attempt that wrote them, and only reported ones are read.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ import hashlib
 import pickle
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +40,8 @@ from hemicycle.llm._shared import long_id, materialise, new_folder, open_fs, sli
 _DIGITS = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 _EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z, the time of page 0; page n was captured n seconds later
 _SAMPLES = 16
+#: Archives whose keys give the split points; rows of a run, and of one of its blocks.
+_SAMPLED, _RUN, _BLOCK = 4096, 50_000, 512
 
 
 def base32_sha1(payload):
@@ -166,10 +173,65 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, broadcast_bytes: int =
     return materialise(rows.mapInArrow(write, "archive string, n_records long, n_bytes long, keys array<binary>"), "manifest")
 
 
-_ENTRY = pa.schema(
-    [("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("range", pa.int32()), ("place", pa.int64())]
-)
+_FIELDS = [("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
+_CAPTURE = pa.schema(_FIELDS)
+_ENTRY = pa.schema([*_FIELDS, ("range", pa.int32()), ("place", pa.int64())])
 _ENTRY_DDL = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long, range int, place long"
+_SLICE_DDL = "range int, file string, start long, stop long"
+
+
+def _key(row: tuple) -> tuple:
+    """The order of captures; one without page comes last among its equals."""
+    return row[0], row[1], row[2] is None, row[2] or 0
+
+
+class _RunWriter:
+    """A file of sorted captures in blocks of _BLOCK rows."""
+
+    def __init__(self, path: str):
+        fs, local = open_fs(path)
+        self.out = fs.open_output_stream(local, compression=None, buffer_size=1 << 20)
+        self.ipc = pa.ipc.new_file(self.out, _CAPTURE, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        self.held: list[tuple] = []
+
+    def add(self, row: tuple) -> None:
+        self.held.append(row)
+        if len(self.held) == _BLOCK:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.ipc.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.held, strict=True), _CAPTURE, strict=True)], schema=_CAPTURE))
+            self.held = []
+
+    def close(self) -> None:
+        self.flush()
+        self.ipc.close()
+        self.out.close()
+
+
+def _run_rows(path: str, start: int, stop: int) -> Iterator[tuple]:
+    """Rows [start, stop) of a run, one block in memory at a time."""
+    fs, local = open_fs(path)
+    with fs.open_input_file(local) as f:
+        run = pa.ipc.open_file(f)
+        for n in range(start // _BLOCK, -(-stop // _BLOCK)):
+            block = run.get_batch(n)
+            lo, hi = max(start - n * _BLOCK, 0), min(stop - n * _BLOCK, block.num_rows)
+            yield from zip(*(c.to_pylist() for c in block.slice(lo, hi - lo).columns), strict=True)
+
+
+def _by_range(batches) -> Iterator[tuple[int, list[tuple]]]:
+    """Slices of each range (or group and range) of rows sorted by it, in the order of file names."""
+    held: list[tuple] = []
+    for b in batches:
+        for r in b.to_pylist():
+            if held and held[0][0] != r["range"]:
+                yield held[0][0], sorted(x[1:] for x in held)
+                held = []
+            held.append((r["range"], r["file"], r["start"], r["stop"]))
+    if held:
+        yield held[0][0], sorted(x[1:] for x in held)
 
 
 def _page(value: str | None) -> int | None:
@@ -177,18 +239,31 @@ def _page(value: str | None) -> int | None:
     return int(digits) if digits else None
 
 
-def read_captures(manifest: DataFrame) -> DataFrame:
+def read_captures(manifest: DataFrame, run_rows: int = _RUN, fan_in: int = 128) -> DataFrame:
     """The capture history: a row per record with its place in (range, place) order of URL key, time and page_id."""
     spark = manifest.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = sorted(pickle.loads(k) for r in manifest.select("keys").collect() for k in r["keys"])  # 16 per archive
+    folder = new_folder(spark, "capture-runs")
+    some = manifest.select("archive", "keys").orderBy(F.xxhash64("archive"), "archive").limit(_SAMPLED).collect()  # 16 keys of at most _SAMPLED archives
+    keys = sorted(pickle.loads(k) for r in some for k in r["keys"])
     splits = [keys[i * len(keys) // tasks] for i in range(1, tasks)] if keys else []
 
     def runs(batches):
+        def sorted_run(entries: list[tuple]) -> pa.RecordBatch:
+            entries.sort(key=_key)
+            name = f"{folder}/run-{uuid.uuid4().hex}"
+            out = _RunWriter(name)
+            for e in entries:
+                out.add(e)
+            out.close()
+            edges = [0, *(bisect_left(entries, x, key=_key) for x in splits), len(entries)]
+            cut = [(i, a, z) for i, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if a < z]
+            return pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.int32()), pa.array([name] * len(cut)), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64())], names=["range", "file", "start", "stop"])
+
         for b in batches:
             for r in b.to_pylist():
                 fs, local = open_fs(r["archive"])
-                entries = []
+                entries, n_records = [], 0
                 with fs.open_input_stream(local, compression=None) as f:
                     for at, size, head, block in read_records(f):
                         http, _, body = block.partition(b"\r\n\r\n")
@@ -198,24 +273,56 @@ def read_captures(manifest: DataFrame) -> DataFrame:
                         if kind == "response" and (len(body) != n or base64.b32encode(hashlib.sha1(body).digest()).decode() != digest):
                             raise ValueError(f"{r['archive']} at {at}: payload and digest differ")
                         page = _page(head["WARC-Record-ID"])
-                        entries.append((_order(page, head["WARC-Target-URI"]), n, digest, kind, _page(head.get("WARC-Refers-To")), r["archive"], at, size))
-                if len(entries) != r["n_records"]:
-                    raise ValueError(f"{r['archive']}: {len(entries)} records, {r['n_records']} were written")
-                entries.sort()
-                cuts: dict[int, list] = {}
-                for e in entries:
-                    cuts.setdefault(bisect_right(splits, e[0]), []).append(e)
-                if cuts:
-                    yield pa.RecordBatch.from_arrays([pa.array(cuts, pa.int32()), pa.array(map(pickle.dumps, cuts.values()), pa.binary())], names=["range", "slice"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        which = table.column("range")[0].as_py()
-        parts = [pickle.loads(x) for x in table.column("slice").to_pylist()]
-        parts.sort(key=lambda p: p[0])
-        rows = [
-            (key[0], key[1], None if key[2] else key[3], n, digest, kind, refers, name, at, size, which, i)
-            for i, (key, n, digest, kind, refers, name, at, size) in enumerate(loser_tree(parts, key=lambda e: e[0]))
-        ]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ENTRY, strict=True)], schema=_ENTRY)
-
-    return manifest.select("archive", "n_records").repartition(tasks).mapInArrow(runs, "range int, slice binary").groupBy("range").applyInArrow(merge, _ENTRY_DDL)
+                        entries.append((url_key(head["WARC-Target-URI"]), _stamp(page), page, n, digest, kind, _page(head.get("WARC-Refers-To")), r["archive"], at, size))
+                        n_records += 1
+                        if len(entries) == run_rows:
+                            yield sorted_run(entries)
+                            entries = []
+                if entries:
+                    yield sorted_run(entries)
+                if n_records != r["n_records"]:
+                    raise ValueError(f"{r['archive']}: {n_records} records, {r['n_records']} were written")
+
+    def merged(slices_of: list[tuple]) -> Iterator[tuple]:
+        return loser_tree([_run_rows(*s) for s in slices_of], key=_key)
+
+    def merge_group(batches):
+        for which, found in _by_range(batches):
+            name, n = f"{folder}/run-{uuid.uuid4().hex}", 0
+            out = _RunWriter(name)
+            for row in merged(found):
+                out.add(row)
+                n += 1
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([which // _GROUPS], pa.int32()), pa.array([name]), pa.array([0], pa.int64()), pa.array([n], pa.int64())], names=["range", "file", "start", "stop"])
+
+    def merge(batches):
+        for which, found in _by_range(batches):
+            held, place = [], 0
+            for row in merged(found):
+                held.append((*row, which, place))
+                place += 1
+                if len(held) == 4 * _BLOCK:
+                    yield _rows(held)
+                    held = []
+            if held:
+                yield _rows(held)
+
+    by_range = lambda df: df.repartition(tasks, "range").sortWithinPartitions("range")
+    found = materialise(manifest.select("archive", "n_records").repartition(tasks).mapInArrow(runs, _SLICE_DDL), "runs")
+    while True:
+        many = found.groupBy("range").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if many <= fan_in:
+            break
+        group = F.pmod(F.xxhash64("file"), F.lit(-(-many // (fan_in // 2)))).cast("long")  # so that hardly a group has more than fan_in
+        dealt = by_range(found.withColumn("range", F.col("range").cast("long") * _GROUPS + group))
+        found = materialise(dealt.mapInArrow(merge_group, _SLICE_DDL), "runs")
+    return by_range(found).mapInArrow(merge, _ENTRY_DDL)
+
+
+#: More groups than a pass has; a range and a group make one number.
+_GROUPS = 1 << 24
+
+
+def _rows(held: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ENTRY, strict=True)], schema=_ENTRY)

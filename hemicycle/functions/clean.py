@@ -68,7 +68,7 @@ def number_or_zero(c) -> Column:
 
 def lenient_timestamp(c, formats: Sequence[str] = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy")) -> Column:
     """The first format that parses, else null."""
-    return F.coalesce(*(F.try_to_timestamp(col(c), F.lit(f)) for f in formats))
+    return F.coalesce(*(F.try_to_timestamp(F.trim(col(c)), F.lit(f)) for f in formats))
 
 
 def metadata_date(df: DataFrame, date_col: str = "date", metadata_col: str = "metadata", keys: Sequence[str] = ("systemdatum", "datum", "date", "system_date")) -> DataFrame:

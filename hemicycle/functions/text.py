@@ -6,7 +6,7 @@ import html as _html
 import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -63,15 +63,27 @@ def sentences(c) -> Column:
 
 
 def chunks(c, most: int = 1500) -> Column:
-    """Sentences gathered greedily into chunks of at most `most` characters; a longer sentence stands alone."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    """Sentences gathered greedily into chunks of at most `most` characters; a longer sentence stands alone.
+
+    A pass over the sentences' lengths notes where chunks start (a few numbers); chunks are then slices, so
+    no text is copied on the way.
+    """
+    return _sliced(sentences(c), most)
 
-    def step(a, s):
-        fits = F.length(a["open"]) + F.length(s) + 1 <= most
-        empty = a["open"] == ""
-        return F.struct(F.when(fits | empty, a["done"]).otherwise(F.array_append(a["done"], a["open"])).alias("done"), F.when(empty, s).when(fits, F.concat(a["open"], F.lit(" "), s)).otherwise(s).alias("open"))
 
-    return F.aggregate(sentences(c), start, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.array_append(a["done"], a["open"])))
+def _sliced(held: Column, most: int) -> Column:
+    sizes = F.transform(held, lambda s: F.length(s))
+    opened = F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda a, n: F.struct(
+            F.when((a["at"] > 0) & (a["size"] + n + 1 <= most), a["size"] + n + 1).otherwise(n).alias("size"),
+            (a["at"] + 1).alias("at"),
+            F.when((a["at"] > 0) & (a["size"] + n + 1 <= most), a["starts"]).otherwise(F.array_append(a["starts"], a["at"])).alias("starts"),
+        ),
+        lambda a: a["starts"],
+    )
+    return F.transform(opened, lambda at, i: F.array_join(F.slice(held, at + 1, F.coalesce(F.get(opened, i + 1), F.size(held)) - at), " "))
 
 
 def context_window(chunks_col, scores_col, k: int = 1) -> Column:
@@ -101,8 +113,8 @@ def stance(sentence, rhetorical: str, opponent: str, own: str) -> Column:
 
 
 def argumentative_extract(c, rhetorical: str, opponent: str, own: str, most: int = 5000, least: int = 15) -> Column:
-    """Own, then neutral, then opponent sentences, until one would overflow; the text's start if none is left."""
-    clean = strip_tags(c)
+    """Own, then neutral, then opponent sentences, each counted with one blank, until one would overflow; the text's start if none is left."""
+    clean = squeeze(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"<[^>]+>", " "))
     held = F.filter(sentences(clean), lambda s: F.length(s) > least)
     kind = lambda k: F.filter(held, lambda s: stance(s, rhetorical, opponent, own) == k)
     ordered = F.concat(kind("own"), kind("neutral"), kind("opponent"))
@@ -110,7 +122,7 @@ def argumentative_extract(c, rhetorical: str, opponent: str, own: str, most: int
 
     def step(a, s):
         longer = F.when(a["text"] == "", s).otherwise(F.concat(a["text"], F.lit(" "), s))
-        full = a["full"] | (F.length(longer) > most)
+        full = a["full"] | (F.length(longer) + 1 > most)
         return F.struct(F.when(full, a["text"]).otherwise(longer).alias("text"), full.alias("full"))
 
     out = F.aggregate(ordered, start, step, lambda a: a["text"])
@@ -118,10 +130,28 @@ def argumentative_extract(c, rhetorical: str, opponent: str, own: str, most: int
 
 
 def policy_sentences(c, drop: Sequence[str], keep: Sequence[str], modals: Sequence[str], least: int = 20) -> Column:
-    """Sentences with an actor's marker or a modal, without a government marker, joined by blanks."""
-    has = lambda s, words, wrap: F.lit(False) if not words else F.exists(F.array(*(F.lit(wrap.format(w)) for w in words)), lambda w: F.lower(s).contains(w))
-    ok = F.filter(sentences(c), lambda s: (F.length(s) >= least) & ~has(s, drop, "{}") & (has(s, keep, "{}") | has(s, modals, " {} ")))
-    return F.array_join(ok, " ")
+    """Sentences with a party's marker (part of the text) or a modal word between blanks, without a government marker (pattern), joined by blanks."""
+    government = "(?U)" + "|".join(f"(?:{p})" for p in drop)
+
+    def ok(s):
+        t = F.trim(F.lower(s))
+        wanted = reduce(or_, [*(t.contains(w) for w in keep), *(F.concat(F.lit(" "), t, F.lit(" ")).contains(f" {w} ") for w in modals)], F.lit(False))
+        return (F.length(t) >= least) & wanted & (~t.rlike(government) if drop else F.lit(True))
+
+    return F.array_join(F.filter(sentences(c), ok), " ")
+
+
+def lemma_hits(lemmas, words: Sequence[str]) -> Column:
+    """Keywords that occur in the text of the lemmas, each counted once."""
+    text = F.lower(F.array_join(col(lemmas), " "))
+    return sum((F.coalesce(text.contains(w.lower()), F.lit(False)).cast("int") for w in dict.fromkeys(words) if w), F.lit(0))
+
+
+def paragraphs(c) -> Column:
+    """The non-blank paragraphs (parted by blank lines), or the non-blank lines where there is only one."""
+    held = lambda pattern: F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), pattern), lambda s: F.trim(s)), lambda s: s != "")
+    parted = held(r"\n\s*\n")
+    return F.when(F.size(parted) > 1, parted).otherwise(held(r"\n"))
 
 
 def _any(text: Column, words: Sequence[str]) -> Column:

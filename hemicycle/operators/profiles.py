@@ -74,7 +74,8 @@ def mean_of(*cols) -> Column:
 
 def index_by_year(pathways: DataFrame, index: str) -> DataFrame:
     """Weighted mean index by (party, year) for counts S, M and V; action is the mean of M and V."""
-    mean = lambda w: F.when(F.sum(w) > 0, F.sum(F.col(index) * F.col(w)) / F.sum(w))
+    x = F.when(~F.isnan(F.col(index).cast("double")), F.col(index))
+    mean = lambda w: F.when(F.sum(F.when(x.isNotNull(), F.col(w))) > 0, F.sum(x * F.col(w)) / F.sum(F.when(x.isNotNull(), F.col(w))))
     out = pathways.groupBy("party", "year").agg(mean("S").alias("speech_index"), mean("M").alias("motion_index"), mean("V").alias("vote_index"))
     return out.withColumn("action_index", mean_of("motion_index", "vote_index"))
 
@@ -163,6 +164,48 @@ def composite(rows: DataFrame, vote_alignment: str, pathway: str, contradiction:
     return out.withColumns({"adjusted": F.col(consistent) * F.col("penalty"), "uphold": F.col(consistent) * F.col("fulfilment") * F.col("penalty")})
 
 
+def strength(c) -> Column:
+    """A number from a strength field; what is none, or 0, counts as 1."""
+    n = col(c).try_cast("double")
+    return F.coalesce(F.nullif(F.nanvl(n, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+
+
+def half_life_profile(labels: DataFrame, keys: Sequence[str], date: str, half_life_days: float, as_of: Column, strength_col: str | None = None) -> DataFrame:
+    """profile() of weights that halve every half_life_days before as_of, times a numeric strength."""
+    w = F.col("weight") * recency_weight(F.col(date), as_of, half_life=half_life_days / 365.25)
+    rows = labels.withColumn("weight", w if strength_col is None else w * strength(strength_col))
+    return profile(rows, keys, "sum")
+
+
+def yearly_statistics(rows: DataFrame, year: str, value: str, key: str) -> DataFrame:
+    """Median, mean and number of distinct keys by year; NaN counts as missing."""
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+    return rows.groupBy(year).agg(F.median(v).alias("median"), F.avg(v).alias("mean"), F.countDistinct(key).alias("n_keys"))
+
+
+def period_profile(labels: DataFrame, actor: str, period: str) -> DataFrame:
+    """profile() of summed weights by actor and period; labels without a period are left out."""
+    return profile(labels.where(F.col(period).isNotNull()), [actor, period], "sum")
+
+
+def consistency_by_year(scores: DataFrame, topics: DataFrame, value: str, unknown: Sequence[str] = ("unknown", "nyd", "")) -> DataFrame:
+    """A party's yearly mean of `value` over topics times its consistency; unknown parties, and years or values that are no numbers, are left out."""
+    year, v = F.col("year").try_cast("double"), F.nanvl(F.col(value).try_cast("double"), F.lit(None).cast("double"))
+    held = topics.where(~F.lower(F.coalesce("party", F.lit(""))).isin(*unknown)).select("party", year.alias("year"), v.alias(value)).where(F.col("year").isNotNull() & ~F.isnan("year"))
+    yearly = held.groupBy("party", F.col("year").cast("int").alias("year")).agg(F.avg(value).alias(value)).where(F.col(value).isNotNull())
+    return yearly.join(scores.select("party", "consistency"), "party", "left").withColumn("metric", F.col("consistency") * F.col(value))
+
+
+def fill_benchmark(keys: DataFrame, waves: DataFrame, score: str = "score") -> DataFrame:
+    """A score for each (party, year) of keys from a benchmark's waves: the year's own, else the last one of the party's before (of its keys' years), else the next.
+
+    waves may hold several rows by party and year (their mean counts). `imputed` marks years without a wave; parties without any are left out.
+    """
+    mean = waves.where(F.col(score).isNotNull() & F.col("year").isNotNull()).groupBy("party", F.col("year").cast("int").alias("year")).agg(F.avg(score).alias("__w"))
+    full = keys.select("party", F.col("year").cast("int").alias("year")).where("year is not null").distinct().join(mean, ["party", "year"], "left")
+    return carry(full, "party", "year", "__w").where("filled is not null").select("party", "year", F.col("filled").alias(score), F.col("__w").isNull().alias("imputed"))
+
+
 # Votes
 
 

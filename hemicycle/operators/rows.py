@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hemicycle.functions.clean import blank_to_null, clean_doc_id
+from hemicycle.functions.text import repair_json
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Column:
@@ -42,6 +43,34 @@ def top_global(rows: DataFrame, k: int, score: str, key: str) -> DataFrame:
     return rows.orderBy(F.col(score).desc_nulls_last(), F.col(key)).limit(k)
 
 
+def global_rank(rows: DataFrame, order: Sequence[Column], key: str, name: str = "rank", bucket_rows: int = 250_000) -> DataFrame:
+    """Adds each row's exact place (from 1) in one ascending order that ends in the unique `key`.
+
+    Cut points from a sample of some hundred keys a bucket deal the rows out to buckets of about
+    `bucket_rows`; places are counted within buckets and shifted by the sizes of those before, so no task
+    sorts all rows.
+    """
+    place = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col(key).alias("o_key"))
+    held = rows.withColumn("__o", place)
+    n = rows.count()
+    cuts = []
+    if n > bucket_rows:
+        wanted = -(-n // bucket_rows)
+        keep = max(1, n // (wanted * 200))
+        sample = held.where(F.pmod(F.xxhash64(key), F.lit(keep)) == 0).select("__o").orderBy("__o").collect()  # 200 a bucket or so
+        cuts = [sample[len(sample) * i // wanted]["__o"] for i in range(1, wanted)] if sample else []
+    bucket = F.lit(0)
+    if cuts:
+        edges = rows.sparkSession.createDataFrame([(cuts,)], f"c array<{held.schema['__o'].dataType.simpleString()}>")
+        held = held.crossJoin(F.broadcast(edges))  # one row
+        bucket = F.size(F.filter("c", lambda c: c <= F.col("__o")))
+    held = held.withColumn("__b", bucket).drop("c")
+    sizes = held.groupBy("__b").agg(F.count("*").alias("__size"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per bucket
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__o"))
+    return held.withColumn(name, inside).join(F.broadcast(before), "__b").withColumn(name, F.col(name) + F.col("__before")).drop("__o", "__size", "__before")
+
+
 def latest_rows(rows: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     """All rows tied at their key's latest time."""
     rank = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(at).desc_nulls_last()))
@@ -168,3 +197,93 @@ def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that either side has more often, with the side's name."""
     b = b.select(*a.columns)
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def without_values(rows: DataFrame, column: str, excluded: Sequence[str], missing: str = "Unknown") -> DataFrame:
+    """Rows whose value is none of the excluded ones, by exact spelling; no value counts as `missing`."""
+    held = rows.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit(missing)))
+    return held.where(~F.col(column).isin(*excluded)) if excluded else held
+
+
+def with_votes(rows: DataFrame, column: str = "vote_count") -> DataFrame:
+    """Rows with at least one vote; a missing or unreadable count is none."""
+    return rows.where(F.coalesce(F.col(column).try_cast("double"), F.lit(0.0)) > 0)
+
+
+def next_to_label(items: DataFrame, labels: DataFrame, annotated: DataFrame, threshold: float, date: str = "date") -> DataFrame:
+    """The one item that needs a label most: the latest of needs_label(), the smallest id on ties."""
+    return needs_label(items, labels, annotated, threshold).orderBy(F.col(date).desc_nulls_last(), "item_id").limit(1)
+
+
+def progress(items: DataFrame, labels: DataFrame, annotations: DataFrame, threshold: float, done: str = "annotated") -> DataFrame:
+    """One row: items that still need a label, and items with an annotation of the status `done`."""
+    ready = annotations.where(F.col("status") == done).select("item_id").distinct()
+    left = needs_label(items, labels, ready, threshold).agg(F.count("*").alias("low_confidence"))
+    return left.crossJoin(F.broadcast(ready.agg(F.count("*").alias("labelled"))))  # one row
+
+
+def lookup_statements(statements: DataFrame, predictions: DataFrame, key: str, probs: Sequence[str], ids: Sequence | None = None, speaker: str | None = None, party: str | None = None, category: str | None = None, limit: int = 100, length: int = 240) -> DataFrame:
+    """Statements with truth, prediction, highest probability and a one-line preview.
+
+    The first filter given counts, of ids, part of the speaker's name, party (any case), predicted category; at most `limit` rows in the order of the key.
+    """
+    top = F.greatest(*(F.col(p) for p in probs)) if len(probs) > 1 else F.col(probs[0])
+    known = predictions.select(key, "truth", "pred", top.alias("top_prob"))
+    if ids:
+        found = statements.where(F.col(key).isin(*ids))
+    elif speaker:
+        found = statements.where(F.lower("speaker").contains(speaker.lower()))
+    elif party:
+        found = statements.where(F.lower("party") == party.lower())
+    else:
+        wanted = known.where(F.col("pred") == category) if category else known
+        found = statements.join(wanted.select(key), key, "left_semi")
+    rows = found if ids else found.orderBy(key).limit(limit)
+    preview = F.translate(F.substring("text", 1, length), "\n", " ")
+    return rows.join(known, key, "left").select(key, "speaker", "party", "truth", "pred", "top_prob", preview.alias("snippet"))
+
+
+def digest(rows: DataFrame, name: str, value: str, n: int = 3) -> DataFrame:
+    """One row: the n highest names as a list, and the names with the highest and the lowest value (the smallest name on ties)."""
+    held = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    low = held.agg(F.min(F.struct(F.col(value), F.col(name)))[name].alias("lowest"))
+    top = top_global(held, n, value, name).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col(value)).alias("v"), F.col(name).alias("n")))), lambda x: x["n"]).alias("top"))
+    return top.select("top", F.get("top", F.lit(0)).alias("highest")).crossJoin(F.broadcast(low))  # one row
+
+
+def one_hot(rows: DataFrame, column: str, values: Sequence[str], prefix: str, missing: str = "<none>") -> DataFrame:
+    """rows with a 0/1 column per value, in place of the column."""
+    held = F.coalesce(F.col(column), F.lit(missing))
+    return rows.withColumns({f"{prefix}_{v}": (held == v).cast("double") for v in values}).drop(column)
+
+
+def json_columns(rows: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """rows with a number column per key of a JSON object, 0 where it is absent; what does not parse is read again with its quotes repaired."""
+    text = F.coalesce(F.col(column), F.lit("{}"))
+    first = F.from_json(text, "map<string,string>")
+    held = F.when(F.size(F.map_keys(first)) > 0, first).otherwise(F.from_json(repair_json(text), "map<string,string>"))
+    number = lambda k: F.coalesce(F.nanvl(F.element_at(held, k).try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    return rows.withColumns({k: number(k) for k in keys})
+
+
+def backfill(rows: DataFrame, source: DataFrame, key: str, columns: Sequence[str], shorter_than: int = 0) -> DataFrame:
+    """rows with missing values of the columns (or texts shorter than that) taken from source, where it has one."""
+    other = source.select(F.col(key), *(F.col(c).alias(f"__{c}") for c in columns))
+    lacks = lambda c: F.col(c).isNull() | (F.length(F.col(c).cast("string")) < shorter_than)
+    out = rows.join(other, key, "left").withColumns({c: F.when(lacks(c), F.coalesce(f"__{c}", c)).otherwise(F.col(c)) for c in columns})
+    return out.drop(*(f"__{c}" for c in columns))
+
+
+def normalise_raw(raw: DataFrame) -> DataFrame:
+    """raw(item_id, json) as title, text, date, party, doc_type and the rest as metadata JSON with sorted keys.
+
+    A missing text is the title. What does not parse is an object without keys. Rows without id are left out.
+    """
+    data = F.coalesce(F.from_json("json", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    held = raw.where(F.col("item_id").isNotNull() & (F.trim("item_id") != "")).withColumn("__d", data)
+    get = lambda *ks: F.coalesce(*(F.nullif(F.element_at("__d", k), F.lit("")) for k in ks))
+    title = F.coalesce(get("title", "rubrik"), F.lit(""))
+    rest = F.map_filter("__d", lambda k, _: ~k.isin("title", "text", "date", "party"))
+    entries = F.array_sort(F.map_entries(rest))
+    out = {"title": title, "text": F.coalesce(get("text", "body"), title), "date": get("date", "datum"), "party": get("party", "parti"), "doc_type": get("doc_type", "dokumenttyp"), "metadata": F.to_json(F.map_from_entries(entries))}
+    return held.select("item_id", *(v.alias(k) for k, v in out.items()))

@@ -103,8 +103,7 @@ def semi_members(spark, d):
 def coalesce_left_join(spark, d):
     left = _t(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("en")).alias("tag"))
     right = _t(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("tag"))
-    out = left.join(right.withColumnRenamed("tag", "other"), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("tag", "other", F.lit("Unknown")).alias("tag"))
+    return R.coalesce_join(left, right, "doc_id", "tag").fillna("Unknown", ["tag"])
 
 
 def _three(spark, d):
@@ -219,7 +218,7 @@ def expected_contradiction(spark, d):
 
 @_query("""WITH refs AS (SELECT DISTINCT l_suppkey AS session, l_linenumber AS code, CAST(l_orderkey AS VARCHAR) AS item_id FROM lineitem),
 v AS (SELECT l_suppkey AS session, l_linenumber AS code, count(DISTINCT l_partkey) AS n, min(l_partkey) AS f FROM lineitem GROUP BY ALL)
-SELECT item_id, min(session) AS session, min(code) AS code, CAST(sum(n) AS BIGINT) AS vote_count, min(f) AS first_vote_id FROM refs JOIN v USING (session, code) WHERE CAST(item_id AS BIGINT) % 2 = 0 GROUP BY item_id""")
+SELECT item_id, min(session) AS session, min(code) AS code, CAST(sum(n) AS BIGINT) AS vote_count, min(f) AS first_vote_id FROM refs JOIN v USING (session, code) GROUP BY item_id""")
 def bridge_two_hop(spark, d):
     li = _t(spark, d, "lineitem")
     refs = li.groupBy(F.col("l_suppkey").alias("session"), F.col("l_linenumber").alias("code")).agg(F.to_json(F.collect_set(F.col("l_orderkey").cast("string"))).alias("ref_ids"))
@@ -259,29 +258,36 @@ def token_overlap_link(spark, d):
     return L.token_overlap(docs, bench, "doc_id", "item_id", "a", "b", 0.5).select("doc_id", "item_id", _r("similarity").alias("similarity"))
 
 
-@_query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.vec_id AS k, b.vec_id AS item, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0)
+@_query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.vec_id AS k, b.vec_id AS item, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id)
 SELECT k, item, CAST(n AS INTEGER) AS rank, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(s, 9) DESC, item) AS n FROM s WHERE s >= 0.1) WHERE n <= 3""")
 def semantic_topk(spark, d):
     e = _t(spark, d, "embeddings")
-    left = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("k"), "label", F.col("embedding").alias("a"))
+    left = e.select(F.col("vec_id").alias("k"), "label", F.col("embedding").alias("a"))
     right = e.select(F.col("vec_id").alias("item"), "label", F.col("embedding").alias("b"))
     return L.semantic_best(left, right, ["label"], "k", "item", "a", "b", 0.1, 3).select("k", "item", "rank", _r("similarity").alias("similarity"))
 
 
 def _ladder_sides(spark, d):
+    """Every order as a statement and as an item; items of one segment have no party, so its statements go down the ladder."""
     top = R.top_category(_labels(spark, d))
-    rows = top.where("item_id % 5 <> 0").select(F.col("item_id").alias("speech_id"), F.col("actor").alias("party"), "category")
+    rows = top.select(F.col("item_id").alias("speech_id"), F.col("actor").alias("party"), "category")
     flags = _t(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), (F.col("o_orderstatus") == "F").alias("has_vote"))
-    items = top.where("item_id % 5 = 0 and actor not in ('BUILDING')").join(flags, "item_id").select("item_id", F.col("actor").alias("party"), "category", "weight", "has_vote")
-    return rows, items
+    return rows, top.join(flags, "item_id").select("item_id", F.nullif("actor", F.lit("BUILDING")).alias("party"), "category", "weight", "has_vote")
 
 
-_LADDER = f"""{_TOP}, sp AS (SELECT item_id AS speech_id, actor AS party, category FROM top WHERE item_id % 5 <> 0),
-it AS (SELECT item_id, actor AS party, category, weight, o_orderstatus = 'F' AS has_vote FROM top JOIN orders ON o_orderkey = item_id WHERE item_id % 5 = 0 AND actor <> 'BUILDING'),
-r AS (SELECT speech_id, i.item_id, CASE WHEN i.party = s.party AND i.category = s.category AND has_vote THEN 1 WHEN i.party = s.party AND i.category = s.category THEN 2 WHEN i.party = s.party AND has_vote THEN 3 WHEN i.party = s.party THEN 4
-  WHEN i.category = s.category AND has_vote THEN 5 WHEN i.category = s.category THEN 6 WHEN has_vote THEN 7 ELSE 8 END AS rung, has_vote, weight FROM sp s, it i),
-ladder AS (SELECT speech_id, item_id AS target_id, 'fallback:' || (['party_category_vote', 'party_category', 'party_vote', 'party', 'category_vote', 'category', 'vote_any', 'any'])[rung] AS link_source
-  FROM (SELECT *, row_number() OVER (PARTITION BY speech_id ORDER BY rung, has_vote DESC, weight DESC, item_id) AS n FROM r) WHERE n = 1)"""
+def _rung(name: str, keys: str, vote: bool) -> str:
+    """The best item of each key that a rung looks up."""
+    held = " AND ".join([*(f"{k} IS NOT NULL" for k in keys.split(", ") if keys), *(["has_vote"] if vote else [])]) or "true"
+    best = f"row_number() OVER ({f'PARTITION BY {keys}' if keys else ''} ORDER BY has_vote DESC, weight DESC, item_id)"
+    return f"{name} AS (SELECT {keys + ', ' if keys else ''}item_id FROM (SELECT *, {best} AS n FROM it WHERE {held}) WHERE n = 1)"
+
+
+_RUNGS = [("party_category_vote", "party, category", True), ("party_category", "party, category", False), ("party_vote", "party", True), ("party", "party", False), ("category_vote", "category", True), ("category", "category", False), ("vote_any", "", True), ("any", "", False)]
+_LADDER = f"""{_TOP}, sp AS (SELECT item_id AS speech_id, actor AS party, category FROM top),
+it AS (SELECT item_id, nullif(actor, 'BUILDING') AS party, category, weight, o_orderstatus = 'F' AS has_vote FROM top JOIN orders ON o_orderkey = item_id),
+{', '.join(_rung(f'r{i}', keys, vote) for i, (_, keys, vote) in enumerate(_RUNGS))},
+ladder AS (SELECT speech_id, coalesce({', '.join(f'r{i}.item_id' for i in range(8))}) AS target_id, 'fallback:' || CASE {' '.join(f"WHEN r{i}.item_id IS NOT NULL THEN '{name}'" for i, (name, _, _) in enumerate(_RUNGS))} END AS link_source
+  FROM sp {' '.join(f"LEFT JOIN r{i} ON {' AND '.join(f'sp.{k} = r{i}.{k}' for k in keys.split(', ')) if keys else 'true'}" for i, (_, keys, _) in enumerate(_RUNGS))})"""
 
 
 @_query(f"WITH {_LADDER} SELECT * FROM ladder")
@@ -296,36 +302,52 @@ def link_source_shares(spark, d):
 
 
 _EDGE = """u AS (SELECT l_orderkey * 10 + l_linenumber AS item_id, min(l_linenumber) AS l_linenumber, max(l_returnflag) AS l_returnflag, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, max(l_tax) AS l_tax, max(l_discount) AS l_discount, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1),
-e AS (SELECT item_id, CASE WHEN l_returnflag = 'R' THEN 'vote' ELSE 'motion' END AS action_type, l_partkey AS action_id,
-  CASE WHEN l_linenumber % 4 <> 0 THEN l_suppkey END AS motion_candidate, 'fallback:any' AS link_source, 0.4 * CAST(l_linenumber = 1 AS INT) + 0.25 * CAST(l_tax > 0.03 AS INT) + 0.2 * CAST(l_discount > 0.05 AS INT) + 0.1 / (1 + l_quantity / 120.0) + 0.05 * 0.35 AS score, l_discount AS margin FROM u)"""
+e AS (SELECT item_id, CASE WHEN l_returnflag = 'R' THEN 'vote' ELSE 'motion' END AS action_type, CAST(l_partkey AS VARCHAR) AS action_id, ['BUILDING', 'MACHINERY', NULL][l_suppkey % 3 + 1] AS party,
+  CASE WHEN l_linenumber % 4 <> 0 THEN CAST(l_suppkey AS VARCHAR) ELSE '' END AS motion_candidate, CASE WHEN l_partkey % 9 = 0 THEN 'existing:rel_dok_id' ELSE 'fallback:any' END AS link_source,
+  0.4 * CAST(l_linenumber = 1 AS INT) + 0.25 * CAST(l_tax > 0.03 AS INT) + 0.2 * CAST(l_discount > 0.05 AS INT) + 0.1 / (1 + l_quantity / 120.0) + 0.05 * 0.35 AS score,
+  0.4 * CAST(l_linenumber = 2 AS INT) + 0.25 * CAST(l_discount > 0.03 AS INT) + 0.2 * CAST(l_tax > 0.05 AS INT) + 0.1 / (1 + l_quantity / 120.0) + 0.05 * 0.45 AS motion_score,
+  CASE WHEN l_partkey % 7 <> 0 THEN l_discount END AS margin FROM u),
+ok AS (SELECT item_id, party, coalesce(margin, -1) AS m, round(score, 9) AS score FROM e WHERE action_type = 'vote' AND motion_candidate <> '' AND link_source NOT LIKE 'existing:%')"""
 
 
 def _edges(spark, d):
+    """Order lines as links: some from earlier runs, some without a motion candidate, some without a margin."""
     least, most = ("l_linenumber", "l_partkey", "l_suppkey"), ("l_returnflag", "l_tax", "l_discount", "l_quantity")
     key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id")
     li = _t(spark, d, "lineitem").groupBy(key).agg(*(F.min(c).alias(c) for c in least), *(F.max(c).alias(c) for c in most))
     score = L.edge_score(F.col("l_linenumber") == 1, F.col("l_tax") > 0.03, F.col("l_discount") > 0.05, F.col("l_quantity"), F.lit(0.35))
-    return li.select("item_id", F.when(F.col("l_returnflag") == "R", "vote").otherwise("motion").alias("action_type"), F.col("l_partkey").alias("action_id"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_suppkey")).alias("motion_candidate"), F.lit("fallback:any").alias("link_source"), score.alias("score"), F.col("l_discount").alias("margin"))
-
-
-@_query(f"""WITH {_EDGE} SELECT item_id, round(greatest(score, 0.6), 6) AS best_score, CASE WHEN greatest(score, 0.6) >= 0.58 AND greatest(score, 0.6) >= margin * 8 + 0.04 THEN CASE WHEN score >= 0.6 THEN 'vote' ELSE 'motion' END END AS accepted FROM e""")
+    motion = L.edge_score(F.col("l_linenumber") == 2, F.col("l_discount") > 0.03, F.col("l_tax") > 0.05, F.col("l_quantity"), F.lit(0.45))
+    party = F.element_at(F.array(F.lit("BUILDING"), F.lit("MACHINERY"), F.lit(None)), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    candidate = F.when(F.col("l_linenumber") % 4 != 0, F.col("l_suppkey").cast("string")).otherwise("")
+    source = F.when(F.col("l_partkey") % 9 == 0, "existing:rel_dok_id").otherwise("fallback:any")
+    return li.select(
+        "item_id", F.when(F.col("l_returnflag") == "R", "vote").otherwise("motion").alias("action_type"), F.col("l_partkey").cast("string").alias("action_id"), party.alias("party"), candidate.alias("motion_candidate"),
+        source.alias("link_source"), score.alias("score"), motion.alias("motion_score"), F.when(F.col("l_partkey") % 7 != 0, F.col("l_discount")).alias("margin"),
+    )
+
+
+@_query(f"""WITH {_EDGE}, b AS (SELECT *, greatest(score, motion_score) AS best FROM e)
+SELECT item_id, round(best, 6) AS best_score, CASE WHEN best >= 0.58 AND best >= coalesce(margin * 8, 0) + 0.04 THEN CASE WHEN score >= motion_score THEN 'vote' ELSE 'motion' END END AS accepted FROM b""")
 def graph_edge_pick(spark, d):
-    e = _edges(spark, d).withColumns({"m": F.lit(0.6), "f": F.col("margin") * 8})
-    return L.accept_direct(e, "score", "m", "f").select("item_id", _r("best_score").alias("best_score"), "accepted")
+    e = _edges(spark, d).withColumn("f", F.col("margin") * 8)
+    return L.accept_direct(e, "score", "motion_score", "f").select("item_id", _r("best_score").alias("best_score"), "accepted")
 
 
-@_query(f"""WITH {_EDGE}, n AS (SELECT greatest(0, ceil(0.9 * count(*)) - count(*) FILTER (action_type = 'motion')) AS need FROM e), ok AS (SELECT item_id, row_number() OVER (ORDER BY margin DESC, round(score, 9) DESC, item_id) AS k FROM e WHERE action_type = 'vote' AND motion_candidate IS NOT NULL AND margin >= 0.01)
-SELECT e.item_id, CASE WHEN k <= need THEN 'motion' ELSE action_type END AS action_type, CASE WHEN k <= need THEN motion_candidate ELSE action_id END AS action_id FROM e CROSS JOIN n LEFT JOIN ok ON e.item_id = ok.item_id""")
+@_query(f"""WITH {_EDGE}, n AS (SELECT greatest(0, ceil(0.7 * count(*)) - count(*) FILTER (action_type = 'motion')) AS need FROM e), k AS (SELECT item_id, row_number() OVER (ORDER BY m DESC, score DESC, item_id) AS k FROM ok WHERE m >= 0.01)
+SELECT e.item_id, CASE WHEN k <= need THEN 'motion' ELSE action_type END AS action_type, CASE WHEN k <= need THEN motion_candidate ELSE action_id END AS action_id, CASE WHEN k <= need THEN 'graph_rebalanced_motion' ELSE link_source END AS link_source FROM e CROSS JOIN n LEFT JOIN k ON e.item_id = k.item_id""")
 def rebalance_topk(spark, d):
     e = _edges(spark, d).withColumn("score", F.round("score", 9))
-    return L.rebalance(e, 0.9, 0.01).select("item_id", "action_type", "action_id")
+    return L.rebalance(e, 0.7, 0.01).select("item_id", "action_type", "action_id", "link_source")
 
 
-@_query(f"""WITH {_EDGE}, b AS (SELECT count(*) AS n, count(*) FILTER (action_type = 'motion') AS motions FROM e), g AS (SELECT s.share, m.margin, (SELECT count(*) FROM e WHERE action_type = 'vote' AND motion_candidate IS NOT NULL AND e.margin >= m.margin) AS eligible FROM (VALUES (0.7), (0.8), (0.9)) s(share), (VALUES (0.0), (0.05)) m(margin)),
-f AS (SELECT CAST(share AS DOUBLE) AS share, CAST(margin AS DOUBLE) AS margin, n, motions, CAST(least(greatest(0, ceil(CAST(share AS DOUBLE) * n) - motions), eligible) AS BIGINT) AS flips FROM g, b)
+_GRID = f"""{_EDGE}, b AS (SELECT count(*) AS n, count(*) FILTER (action_type = 'motion') AS motions FROM e), g AS (SELECT CAST(s.share AS DOUBLE) AS share, CAST(m.margin AS DOUBLE) AS margin, (SELECT count(*) FROM ok WHERE ok.m >= m.margin) AS eligible FROM (VALUES (0.55), (0.7), (0.9)) s(share), (VALUES (-1.0), (0.0), (0.05)) m(margin)),
+f AS (SELECT share, margin, n, motions, CAST(least(greatest(0, ceil(share * n) - motions), eligible) AS BIGINT) AS flips FROM g, b)"""
+
+
+@_query(f"""WITH {_GRID}
 SELECT share, margin, flips, round(abs(ln((motions + flips) / (n - motions - flips) / 9.4542)), 6) AS ratio_error FROM f""")
 def tune_rebalance_grid(spark, d):
-    return S.rebalance_grid(_edges(spark, d), [0.7, 0.8, 0.9], [0.0, 0.05], 9.4542).select("share", "margin", "flips", _r("ratio_error").alias("ratio_error"))
+    return S.rebalance_grid(_edges(spark, d), [0.55, 0.7, 0.9], [-1.0, 0.0, 0.05], 9.4542).select("share", "margin", "flips", _r("ratio_error").alias("ratio_error"))
 
 
 _VOTES = """votes AS (SELECT l_partkey AS vote_id, n_name AS party, l_returnflag AS vote, CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
@@ -364,7 +386,7 @@ def yearly_outer_merge(spark, d):
     return P.yearly_merge(n_orders=_t(spark, d, "orders").withColumn("year", F.year("o_orderdate")), n_lines=_t(spark, d, "lineitem").withColumn("year", F.year("l_shipdate")), n_events=_t(spark, d, "events").withColumn("year", F.year("ts")))
 
 
-_MONTHS = """a AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) AS v FROM orders WHERE o_custkey % 50 = 0 GROUP BY 1), b AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg(l_extendedprice) AS v FROM lineitem WHERE l_partkey % 50 = 0 GROUP BY 1),
+_MONTHS = """a AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) AS v FROM orders GROUP BY 1), b AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1),
 lim AS (SELECT min(month) AS lo, max(month) AS hi FROM (SELECT month FROM a UNION ALL SELECT month FROM b)), grid AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month FROM lim),
 m AS (SELECT grid.month, a.v AS said, b.v AS did FROM grid LEFT JOIN a ON a.month = grid.month LEFT JOIN b ON b.month = grid.month)"""
 
@@ -430,7 +452,7 @@ def avg_rank_spearman(spark, d):
     return S.correlation(s, ["g"], "a", "b").select("g", _r("pearson").alias("pearson"), _r("spearman").alias("spearman"), "n")
 
 
-@_query("""WITH p AS (SELECT p_partkey AS k, ((p_partkey * 7919) % 1000 + 1) / 20000.0 AS p FROM part WHERE p_partkey <= 400), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS r, count(*) OVER () AS n FROM p),
+@_query("""WITH p AS (SELECT p_partkey AS k, ((p_partkey * 7919) % 1000 + 1) / 20000.0 AS p FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS r, count(*) OVER () AS n FROM p),
 a AS (SELECT k, least(1.0, min(p * n / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS a FROM r) SELECT k, round(a, 6) AS adjusted, CASE WHEN a < 0.001 THEN '***' WHEN a < 0.01 THEN '**' WHEN a < 0.05 THEN '*' ELSE '' END AS stars FROM a""")
 def bh_adjust(spark, d):
     p = _t(spark, d, "part").select(F.col("p_partkey").alias("k"), (((F.col("p_partkey") * 7919) % 1000 + 1) / F.lit(20000.0)).alias("p"))
@@ -463,12 +485,12 @@ def strata_stability(spark, d):
     return out.select("n_all", _r("mean_all").alias("mean_all"), _r("sd_all").alias("sd_all"), _r("delta_R").alias("delta_R"), "stable_R")
 
 
-@_query(f"WITH {_LABELS}, i AS (SELECT actor, item_id FROM labels GROUP BY ALL), n AS (SELECT actor, count(*) AS n FROM i GROUP BY actor), s AS (SELECT actor, category, sum(weight) AS s FROM labels GROUP BY ALL) SELECT actor, category, round(s / n, 6) AS mean FROM s JOIN n USING (actor)")
+@_query(f"WITH {_LABELS}, i AS (SELECT actor, item_id FROM labels GROUP BY ALL), n AS (SELECT actor, count(*) AS n FROM i GROUP BY actor), s AS (SELECT actor, category, sum(weight) AS s FROM labels GROUP BY ALL) SELECT n.actor, c.category, round(coalesce(s, 0) / n, 6) AS mean FROM n CROSS JOIN (SELECT DISTINCT category FROM labels) c LEFT JOIN s ON s.actor = n.actor AND s.category = c.category")
 def centroids(spark, d):
     lab = _labels(spark, d)
     cats = [r[0] for r in lab.select("category").distinct().orderBy("category").collect()]  # the categories, a fixed few
     out = P.centroids(lab, "actor", cats)
-    return out.select("actor", F.posexplode("vector")).select("actor", F.element_at(F.array(*map(F.lit, cats)), F.col("pos") + 1).alias("category"), _r("col").alias("mean")).where("mean > 0")
+    return out.select("actor", F.posexplode("vector")).select("actor", F.element_at(F.array(*map(F.lit, cats)), F.col("pos") + 1).alias("category"), _r("col").alias("mean"))
 
 
 @_query(f"""WITH {_LABELS}, p AS (SELECT item_id, weight / sum(weight) OVER (PARTITION BY item_id) AS p FROM labels), e AS (SELECT item_id, -sum(p * ln(p)) AS nat, -sum(p * log2(p)) AS bits, max(p) AS top FROM p GROUP BY item_id)
@@ -486,12 +508,14 @@ def decade_strata_quota(spark, d):
     return S.stratum_quotas(rows, "stratum", 100)
 
 
-@_query()
+@_query("""WITH c AS (SELECT o_orderstatus AS s, count(*) AS size FROM orders GROUP BY 1), q AS (SELECT s, size, greatest(1, CAST(floor(size * 100 / (SELECT sum(size) FROM c)) AS BIGINT)) AS q FROM c),
+t AS (SELECT s, CASE WHEN row_number() OVER (ORDER BY size DESC, s) = 1 THEN greatest(1, q + 100 - CAST((SELECT sum(q) FROM q) AS BIGINT)) ELSE q END AS quota FROM q)
+SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42|' || o_orderkey), o_orderkey) AS n FROM orders) JOIN t ON s = o_orderstatus WHERE n <= quota""")
 def stratified_sample(spark, d):
     return S.stratified_sample(_t(spark, d, "orders"), "o_orderstatus", 100, "o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
-@_query()
+@_query("""SELECT doc_id, lang, CASE WHEN place < 0.5 THEN 'train' WHEN place < 0.75 THEN 'validation' ELSE 'test' END AS split FROM (SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) - 1) / count(*) OVER (PARTITION BY lang) AS place FROM documents)""")
 def stratified_split(spark, d):
     return S.split(_t(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", {"train": 0.5, "validation": 0.25, "test": 0.25})
 
@@ -515,30 +539,45 @@ def sentence_split_stats(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(T.sentences("text")).alias("n_sentences"))
 
 
-@_query()
+@_query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<[^>]+>', ' ', 'gs'),
+'&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g'), ' ') AS text FROM pages""")
 def html_to_text(spark, d):
     return _t(spark, d, "pages").select("page_id", T.html_to_text("html").alias("text"))
 
 
-@_query()
+def _cut(rows: str, most: int) -> str:
+    """Chunks of rows(k, text) as c(k, chunk, text), sentence by sentence."""
+    return rf"""w AS (SELECT k, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '') AS s FROM ({rows})),
+r AS (SELECT k, s, 1 AS i, length(s[1]) AS size, 0 AS chunk FROM w WHERE len(s) > 0 UNION ALL
+  SELECT k, s, i + 1, CASE WHEN size + length(s[i + 1]) + 1 <= {most} THEN size + length(s[i + 1]) + 1 ELSE length(s[i + 1]) END, chunk + CASE WHEN size + length(s[i + 1]) + 1 <= {most} THEN 0 ELSE 1 END FROM r WHERE i < len(s)),
+c AS (SELECT k, chunk, string_agg(s[i], ' ' ORDER BY i) AS text FROM r GROUP BY k, chunk)"""
+
+
+@_query(f"WITH RECURSIVE {_cut('SELECT conv_id * 100000 + turn AS k, text FROM conversations', 300)} SELECT CAST(k // 100000 AS BIGINT) AS conv_id, CAST(k % 100000 AS BIGINT) AS turn, chunk, text FROM c")
 def greedy_chunks(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.chunks("text", 300)).alias("chunk", "text"))
 
 
-@_query()
+@_query(r"""WITH RECURSIVE x AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS t FROM conversations),
+s AS (SELECT conv_id, turn, t, unnest(v) AS s, generate_subscripts(v, 1) AS place FROM (SELECT *, string_split_regex(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS v FROM x)),
+k AS (SELECT *, CASE WHEN regexp_matches(lower(s), '(^|[^\pL\pN_])(la|die)($|[^\pL\pN_])') THEN 1 WHEN contains(s, '?') THEN 9 WHEN regexp_matches(lower(s), '(^|[^\pL\pN_])(ist|the)($|[^\pL\pN_])') THEN 3 ELSE 2 END AS kind FROM s WHERE length(s) > 15 AND trim(s, ' ') <> ''),
+o AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY conv_id, turn ORDER BY kind, place) AS run FROM k WHERE kind < 9),
+e AS (SELECT conv_id, turn, string_agg(s, ' ' ORDER BY kind, place) AS e FROM o WHERE run <= 400 GROUP BY ALL)
+SELECT conv_id, turn, coalesce(e, substr(t, 1, 400)) AS extract FROM x LEFT JOIN e USING (conv_id, turn)""")
 def argumentative_extract(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", T.argumentative_extract("text", r"\?", r"\b(ist|the)\b", r"\b(la|die)\b", 400).alias("extract"))
 
 
-@_query()
+@_query("SELECT doc_id, lang, 'left' AS side FROM documents WHERE doc_id % 7 = 0")
 def row_hash_diff(spark, d):
     docs = _t(spark, d, "documents")
     return R.bag_difference(docs.select("doc_id", "lang"), docs.where("doc_id % 7 <> 0").select("doc_id", "lang"))
 
 
-@_query()
+@_query("""WITH j AS (SELECT sha256('{"o_custkey":' || o_custkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') || '","o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || CAST(o_totalprice AS VARCHAR) || '}') AS h FROM orders)
+SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || h[1:15]) AS BIGINT)) AS VARCHAR) AS digest0, CAST(sum(CAST(('0x' || h[16:30]) AS BIGINT)) AS VARCHAR) AS digest1 FROM j""")
 def row_digest(spark, d):
-    return R.row_digest(_t(spark, d, "orders"))
+    return R.row_digest(_t(spark, d, "orders")).select("n_rows", F.col("digest0").cast("string").alias("digest0"), F.col("digest1").cast("string").alias("digest1"))
 
 
 _PROBS = "p AS (SELECT doc_id, quality AS t, 0.2 + 0.6 * ((doc_id * 31) % 100) / 100.0 AS p1 FROM labels)"
@@ -564,14 +603,35 @@ def reliability_bins(spark, d):
     return S.reliability(_probs(spark, d), "p1", "t").select("bin", _r("confidence").alias("confidence"), _r("accuracy").alias("accuracy"), "n")
 
 
-@_query()
+_WEIGHT = " + ".join(f"CAST(u >= {edge!r} AS INT)" for edge in S._POISSON)
+
+
+@_query(f"""WITH x AS (SELECT doc_id, lang, CAST(CASE WHEN doc_id % 5 <> 0 THEN quality END AS DOUBLE) AS quality FROM labels JOIN documents USING (doc_id)), d AS (SELECT *, CAST(CAST(('0x' || substr(md5('42|' || draw || '|' || doc_id), 1, 8)) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM x, range(1, 201) r(draw)),
+m AS (SELECT lang, draw, sum(quality * w) / nullif(sum(w) FILTER (quality IS NOT NULL), 0) AS v FROM (SELECT *, {_WEIGHT} AS w FROM d) GROUP BY ALL), c AS (SELECT lang, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM m GROUP BY lang)
+SELECT lang, round(avg(quality), 6) AS quality_mean, count(*) AS n, round(any_value(lo), 6) AS quality_low, round(any_value(hi), 6) AS quality_high FROM x JOIN c USING (lang) GROUP BY lang""")
 def bootstrap_ci(spark, d):
-    return S.bootstrap_means(_t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id").select("doc_id", "lang", F.col("quality").cast("double").alias("quality")), "lang", ["quality"], 200)
+    quality = F.when(F.col("doc_id") % 5 != 0, F.col("quality").cast("double"))
+    rows = _t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id").select("doc_id", "lang", quality.alias("quality"))
+    out = S.bootstrap_means(rows, "lang", ["quality"], 200, row_id="doc_id")
+    return out.select("lang", _r("quality_mean").alias("quality_mean"), "n", _r("quality_low").alias("quality_low"), _r("quality_high").alias("quality_high"))
 
 
-@_query()
+#: The signed-rank test of column d of pairs(g, d) whose groups hold up to 12 differences, none of them 0 or equal in size.
+_SIGNED = """k AS (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY abs(d)) AS r, count(*) OVER (PARTITION BY g) AS n FROM pairs),
+w AS (SELECT g, any_value(n) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w FROM k GROUP BY g),
+masks AS (SELECT g, mask, sum(CASE WHEN (mask >> (r - 1)) & 1 = 1 THEN r ELSE 0 END) AS s FROM k, range(4096) m(mask) WHERE mask < pow(2, n) GROUP BY g, mask)"""
+_SIGNED_OUT = """'wilcoxon' AS test, n, CAST(w AS DOUBLE) AS stat, round(least(1, 2 * (SELECT count(*) FROM masks WHERE masks.g = w.g AND s <= w.w) / pow(2, n)), 6) AS p, round(abs(w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0) / sqrt(n), 6) AS effect"""
+
+
+def _tested(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, "test", "n", *(_r(c).alias(c) for c in ("stat", "p", "effect")))
+
+
+@_query(f"""WITH y AS (SELECT c_mktsegment AS actor, CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) AS said FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), pairs AS (SELECT actor AS g, said - avg(said) OVER (PARTITION BY year) AS d FROM y), {_SIGNED}
+SELECT g AS actor, {_SIGNED_OUT} FROM w""")
 def paired_tests(spark, d):
-    return S.paired_tests(_yearly(spark, d), ["actor"], "said", "did")
+    rows = _yearly(spark, d).withColumn("all", F.avg("said").over(Window.partitionBy("year")))
+    return _tested(S.paired_tests(rows, ["actor"], "said", "all"), "actor")
 
 
 @_query("""SELECT conv_id, turn, CASE WHEN regexp_matches(s, 'the|und') THEN 'own' WHEN contains(s, '?') THEN 'rhetorical' WHEN regexp_matches(s, 'que|la') THEN 'opponent' ELSE 'neutral' END AS stance
@@ -635,22 +695,31 @@ def actor_correlation(spark, d):
     return S.correlation(_yearly(spark, d), ["actor"], "said", "did").select("actor", _r("pearson").alias("pearson"), _r("spearman").alias("spearman"), "n")
 
 
-@_query()
+@_query("""WITH y AS (SELECT c_mktsegment AS actor, CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) AS said FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), g AS (SELECT actor, year, said - avg(said) OVER (PARTITION BY year) AS x FROM y),
+k AS (SELECT actor, x, row_number() OVER (PARTITION BY actor ORDER BY year) - 1 AS i, count(*) OVER (PARTITION BY actor) AS n, sum(x) OVER (PARTITION BY actor) AS own FROM g),
+f AS (SELECT actor, mask, any_value(n) AS n, any_value(own) AS own, sum(CASE WHEN (mask >> i) & 1 = 1 THEN -x ELSE x END) AS s FROM k, range(4096) m(mask) WHERE mask < pow(2, n) GROUP BY actor, mask)
+SELECT actor, any_value(n) AS n, round(count(*) FILTER (abs(s) >= abs(own) - 1e-6) / count(*), 6) AS p FROM f GROUP BY actor""")
 def sign_flip_test(spark, d):
     """Whether an actor's yearly mean lies off the mean of all actors in those years."""
+    gaps = _yearly(spark, d).withColumn("gap", F.col("said") - F.avg("said").over(Window.partitionBy("year")))
+    return S.sign_flip_tests(gaps, ["actor"], "gap", "year").select("actor", "n", _r("p").alias("p"))
 
-    def test(pdf):
-        return pdf[["actor"]].head(1).assign(p=S.sign_flip_p(pdf["gap"].to_numpy()), n=len(pdf))
 
-    gaps = _yearly(spark, d).withColumn("gap", F.col("said") - F.avg("said").over(Window.partitionBy("year")))
-    return gaps.select("actor", "gap").groupBy("actor").applyInPandas(test, "actor string, p double, n long")
+@_query("""WITH r AS (SELECT l_suppkey % 5 AS g, l_orderkey * 10 + l_linenumber AS id, avg(l_discount) - 0.05 AS x FROM lineitem GROUP BY ALL), d AS (SELECT g, x, draw, CASE WHEN draw = 0 OR CAST(('0x' || substr(md5('42|' || draw || '|' || id), 1, 8)) AS BIGINT) < 2147483648 THEN x ELSE -x END AS y FROM r, range(0, 61) t(draw)),
+s AS (SELECT g, draw, round(abs(sum(y)), 9) AS s, count(*) AS n FROM d GROUP BY ALL) SELECT g, any_value(n) AS n, round(count(*) FILTER (s >= (SELECT s FROM s o WHERE o.g = s.g AND o.draw = 0)) / 61.0, 6) AS p FROM s GROUP BY g""")
+def sign_flip_drawn(spark, d):
+    """Sixty drawn sign vectors over large groups."""
+    rows = _t(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("g"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg((F.avg("l_discount") - 0.05).alias("x"))
+    return S.sign_flip_tests(rows, ["g"], "x", "id", rounds=60).select("g", "n", _r("p").alias("p"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_cut('SELECT doc_id AS k, text FROM documents', 300)}, e AS (SELECT *, length(text) - length(replace(text, 'e', '')) AS n FROM c), b AS (SELECT k, arg_min(chunk, (-n, chunk)) AS best FROM e GROUP BY k),
+v AS (SELECT c.k, list(c.text ORDER BY chunk) AS v FROM c JOIN b ON b.k = c.k AND chunk BETWEEN best - 1 AND best + 1 GROUP BY c.k)
+SELECT doc_id, array_to_string(v, chr(10)) AS window FROM documents LEFT JOIN v ON k = doc_id""")
 def best_chunk_window(spark, d):
     parts = _t(spark, d, "documents").select("doc_id", T.chunks("text", 300).alias("chunks"))
     scored = parts.withColumn("scores", F.transform("chunks", lambda c: F.length(c) - F.length(F.replace(c, F.lit("e"), F.lit("")))))
-    return scored.select("doc_id", T.context_window("chunks", "scores", 1).alias("window"))
+    return scored.select("doc_id", F.array_join(T.context_window("chunks", "scores", 1), "\n").alias("window"))
 
 
 @_query()
@@ -753,9 +822,12 @@ def z_scores(spark, d):
     return _yearly(spark, d).select("actor", "year", _r(P.z_score("said", "actor"), 5).alias("z"))
 
 
-@_query()
+@_query(f"""WITH {_PROBS}, g AS (SELECT round(p1, 9) AS x, sum(t) AS h, count(*) AS n FROM p GROUP BY 1), c AS (SELECT x, sum(h) OVER (ORDER BY x) AS h, sum(n) OVER (ORDER BY x) AS n, h AS own, n AS m FROM g),
+lo AS (SELECT a.x AS x, l.x AS l, min((u.h - l.h + l.own) / (u.n - l.n + l.m)) AS least FROM c a JOIN c l ON l.x <= a.x JOIN c u ON u.x >= a.x GROUP BY a.x, l.x)
+SELECT round(x, 6) AS score, round(max(least), 6) AS calibrated FROM lo GROUP BY x""")
 def isotonic_calibration(spark, d):
-    return S.isotonic(_probs(spark, d), "p1", "t")
+    rows = _probs(spark, d).withColumn("p1", F.round("p1", 9))
+    return S.isotonic(rows, "p1", "t").select(_r("score").alias("score"), _r("calibrated").alias("calibrated"))
 
 
 @_query()

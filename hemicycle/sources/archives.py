@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from hemicycle.functions.clean import blank_to_null, lenient_timestamp, normalise_actor, normalise_speech_actor, object_or_list, session_key
 from hemicycle.functions.text import html_to_text
+from hemicycle.operators.rows import first_row
 
 _MEMBER = "archive string, member string, content string"
 
 
 def zip_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """archive, member and text of each member whose name has the suffix; unreadable archives and members give none."""
+    """archive, member and text of each member whose name has the suffix (any case); unreadable archives and members give none."""
 
     def unzip(batches):
         for pdf in batches:
@@ -32,7 +33,7 @@ def zip_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
                 except zipfile.BadZipFile:
                     continue
                 for m in z.namelist():
-                    if m.endswith(suffix) and not m.endswith("/"):
+                    if m.lower().endswith(suffix.lower()) and not m.endswith("/"):
                         try:
                             text = z.read(m).decode("utf-8-sig", "replace")
                         except (zipfile.BadZipFile, OSError):
@@ -44,6 +45,7 @@ def zip_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return files.mapInPandas(unzip, _MEMBER)
 
 
+# Field names of the archives.
 _SPEECH = "dok_id string, anforande_id string, dok_rm string, dok_datum string, talare string, parti string, anforandetext string, avsnittsrubrik string, kammaraktivitet string, rel_dok_id string, intressent_id string"
 
 
@@ -70,7 +72,8 @@ def signatories(members: DataFrame) -> DataFrame:
     doc = "dokumentstatus struct<dokument: struct<dok_id: string, rm: string>, dokintressent: struct<intressent: string>>"
     j = members.select(F.from_json("content", doc).alias("j")).select(F.col("j.dokumentstatus.dokument.dok_id").alias("item_id"), F.col("j.dokumentstatus.dokument.rm").alias("session"), F.explode(object_or_list("j.dokumentstatus.dokintressent.intressent", one)).alias("s"))
     out = j.select("item_id", "session", F.col("s.intressent_id").alias("member_id"), F.col("s.namn").alias("name"), F.col("s.partibet").alias("party"), F.col("s.roll").alias("role"), F.col("s.ordning").try_cast("int").alias("position"))
-    return out.dropDuplicates(["item_id", "member_id", "name", "party", "role"])
+    keys = ["item_id", "member_id", "name", "party", "role"]
+    return first_row(out, keys, [F.col("position").asc_nulls_last(), F.col("session").asc_nulls_last()])
 
 
 #: The two layouts of vote files.

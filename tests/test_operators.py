@@ -231,9 +231,7 @@ def test_upsert_and_stream(spark, tmp_path):
 
 
 def test_statistics(spark):
-    rng = np.random.default_rng(0)
-    assert S.sign_flip_p(rng.normal(1, 0.1, 20)) < 0.01 and S.sign_flip_p(np.array([1.0, -1.0])) == 1.0
-    assert S.wilcoxon_p(np.array([1.0, 2, 3, 4, 5])) == pytest.approx(0.0625)
+    assert S.wilcoxon(np.array([1.0, 2, 3, 4, 5])) == (0.0, pytest.approx(0.0625))
     assert S._t_p(2.228, 10) == pytest.approx(0.05, abs=1e-3)
     df = spark.createDataFrame([("a", float(i % 7)) for i in range(400)], "g string, v double").withColumn("i", F.monotonically_increasing_id())
     r = S.bootstrap_means(df, "g", ["v"], 200).first()

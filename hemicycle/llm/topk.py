@@ -1,6 +1,6 @@
 """Exact top-k search (1) by MaxScore over sharded integer vectors.
 
-A vector's terms are its components; a shard holds, term by term, the components of a few hundred
+A vector's terms are its components; a shard holds, term by term, the components of a few thousand
 vectors (its postings) with each term's least and greatest value. For a query, a term's score bound
 in a shard is the gap between the best and the worst product it can contribute. Terms are split by
 these bounds: as many of the weakest as cannot lift any vector over the query's threshold are
@@ -136,7 +136,7 @@ def _clipped(s: np.ndarray) -> list[int]:
     return [max(least, min(most, int(x))) for x in s]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, shard_rows: int = 512, block_rows: int = 512, sample_rows: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, shard_rows: int = 4096, block_rows: int = 512, sample_rows: int = 1024) -> DataFrame:
     """query_block, query_place, query_id, rank, vec_id and score of the k vectors with the greatest inner product with each query.
 
     Both inputs come from usable_vectors(); components count as floor(scale * x). query_block and

@@ -10,7 +10,8 @@ moved by the totals of the conversation's earlier partitions.
 
 Turns are ordered by turn, null last, then by role and text (null first); repeated rows are repeated
 turns. A null role or text is a value of its own and renders as empty. Rows with null conv_id are one
-conversation. Long conversations render in segments of `segment` turns. Empty table: no rows.
+conversation. Long conversations render in segments of `segment` turns; very long texts are hashed and
+rendered whole. Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +21,18 @@ from pyspark.sql import functions as F
 
 from hemicycle.llm._shared import long_id, materialise
 
+#: Characters of a role or text that take part in dealing turns out.
+_KEY = 64
+
 
 def numbered_turns(turns: DataFrame) -> DataFrame:
     """conv, role, text, place (from 1) and the running prefix hashes h1, h2 of turns(conv_id, turn, role, text)."""
     order = [F.col("conv").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
     narrow = turns.select(long_id("conv_id").alias("conv"), long_id("turn").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    placed = narrow.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    # the keys that are sampled are bounded; rows they do not tell apart stay in one partition
+    wide = F.length(F.coalesce("role", F.lit(""))) > _KEY
+    keys = [*order[:2], F.substring("role", 1, _KEY).asc_nulls_first(), wide.asc(), F.when(~wide, F.substring("text", 1, _KEY)).asc_nulls_first()]
+    placed = narrow.repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
     placed = materialise(placed, "turns")
     here = Window.partitionBy("part", "conv").orderBy(*order[1:])
     local = placed.withColumn("n", F.row_number().over(here))

@@ -13,8 +13,9 @@ holds it, so that a source misses its target by half of one such range, or one d
 Targets: `share` of all words, split by weights that repeat over the sources in code-point order (null
 last), no target over `most` times its source's words; what is over is dealt out again by weight.
 
-null text: size 0. A null source is a source. Repeated rows: each is a document; rows of equal id and
-text share their hash, so fall on the same side. Sources without words have target 0. Empty table: none.
+null text: size 0. A null source is a source. Repeated rows (ties): each is a document; rows of equal id and
+text share their hash, so fall on the same side. Very long texts count whole; one is taken or left as a whole.
+Sources without words have target 0. Empty table: none. mixed() keeps other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hemicycle.llm._shared import WORD, long_id, materialise
+from hemicycle.operators.rows import global_rank
 
 _BINS = 1024
 _SALTS = 64
@@ -45,13 +47,13 @@ def _hash():
 def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Adds weight and target to sources(source, source_size), a row per source.
 
-    The row numbers need one order over all sources; the refilling is a loop of plain sums, each of
+    Sources are numbered in one order, bucket by bucket; the refilling is a loop of plain sums, each of
     which sets at least one more source to its bound.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     n = len(weights)
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(n)) + 1).cast("int"))
-    ranked = materialise(sources.withColumn("weight", w.cast("double")), "sources")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("__place") - 1, F.lit(n)) + 1).cast("int"))
+    numbered = global_rank(sources, [F.col("source").isNull()], "source", "__place")
+    ranked = materialise(numbered.withColumn("weight", w.cast("double")).drop("__place", "__b"), "sources")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, bound = None, F.col("source_size") * F.lit(most)
     while True:

@@ -129,13 +129,13 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    data = np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    data = np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(data)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel()
 
 
 def sum_runs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,8 @@ go as packed sorted blocks to buckets of the hash range, where they are merged.
 sorted array of their 64-bit hashes (a word's id is its place), pairs the sorted array of their ids.
 Pairs are dealt out by their second word, so a word's continuation count is complete in its bucket;
 words that hold more than a quarter of a bucket are dealt out by both words and their partial counts
-added. Nothing of the corpus passes through the driver but the file lists and eight counts of counts.
+added. Nothing of the corpus passes through the driver but the file lists, eight counts of counts and the
+numbers of such frequent words, fewer than four a bucket.
 Model. Flat arrays in the shared folder: word hashes, per-word counts, lower-order probability and
 back-off weight, pair keys and counts. Workers memory-map them and look up a batch's distinct words
 and pairs in sorted order.
@@ -16,8 +17,9 @@ distribution over the V known tokens and one unknown. Contexts never seen back o
 Discounts are estimated from counts of counts at each order; where those do not give discounts in
 (0, k) (tiny corpora), 0.5, 1 and 1.5 are used.
 
-null text: empty, scored as its end token. null doc_id: a training row. Repeated rows count again.
-Empty training set: V and N are 0, every token is unknown with probability 1. Empty table: no rows.
+null text: empty, scored as its end token. null doc_id: a training row. Repeated rows count again. Very long
+texts are counted and scored whole. Ties do not arise. Empty training set: V and N are 0, every token is
+unknown with probability 1. Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ class Reader:
         self.count = [read_array(w[2], "<i8") for w in model.words]
         self.starts = np.array([x[0] for x in model.lower], np.int64)
         self.low = [(read_array(x[1], "<f8"), read_array(x[2], "<f8")) for x in model.lower]
-        self.pair = {b: (read_array(x[0], "<u8"), read_array(x[1], "<i4")) for b, x in model.pairs.items()}
+        self.pair = {b: (read_array(x[0], "<u8"), read_array(x[1], "<i8")) for b, x in model.pairs.items()}
         self.hot = np.array(sorted(model.hot), np.int64)
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,18 +198,30 @@ def train(docs: DataFrame) -> Model:
         at = name("words", b)
         write_bytes(f"{at}.hash", k.astype("<u8"))
         write_bytes(f"{at}.count", c.astype("<i8"))
-        often = np.argsort(-c, kind="stable")[: 4 * buckets + 1]
-        return pa.table({"bucket": pa.array([b], pa.int32()), "file": [at], "n": [len(k)], "total": [int(c.sum())], "often": pa.array([often.tolist()], pa.list_(pa.int64())), "counts": pa.array([c[often].tolist()], pa.list_(pa.int64())), "first": pa.array([int(k[0].view(np.int64))], pa.int64())})
+        return pa.table({"bucket": pa.array([b], pa.int32()), "file": [at], "n": [len(k)], "total": [int(c.sum())], "first": pa.array([int(k[0].view(np.int64))], pa.int64())})
 
-    shards = materialise(text.mapInArrow(words, _BLOCK).groupBy("bucket").applyInArrow(word_file, "bucket int, file string, n long, total long, often array<long>, counts array<long>, first long"), "lm-words").orderBy("bucket").collect()
+    listed = materialise(text.mapInArrow(words, _BLOCK).groupBy("bucket").applyInArrow(word_file, "bucket int, file string, n long, total long, first long"), "lm-words")
+    shards = listed.orderBy("bucket").collect()  # a row per bucket
     model = Model(buckets=buckets, n=sum(r["total"] for r in shards), v=sum(r["n"] for r in shards))
     if not model.n:
         return model
-    base = 0
+    if model.v >= 1 << 32:
+        raise OverflowError("more than 2**32 distinct words; a pair's key holds two word numbers of 32 bits")
+
+    def frequent(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                at = np.flatnonzero(np.asarray(read_array(f"{r['file']}.count", "<i8")) * (4 * buckets) > model.n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r["bucket"], np.int32)), pa.array(at.astype(np.int64))], names=["bucket", "place"])
+
+    # words of more than a quarter of a bucket's share: fewer than 4 * buckets in all
+    hot = [(r["bucket"], r["place"]) for r in listed.select("bucket", "file").repartition(buckets).mapInArrow(frequent, "bucket int, place long").collect()]
+    base, bases = 0, {}
     for r in shards:
         model.words.append((r["first"] % (1 << 64), f"{r['file']}.hash", f"{r['file']}.count", r["n"]))
-        model.hot += [base + i for i, c in zip(r["often"], r["counts"], strict=True) if c * 4 * buckets > model.n]
+        bases[r["bucket"]] = base
         base += r["n"]
+    model.hot = [bases[b] + at for b, at in hot]
 
     def pairs(batches):
         reader = _reader(model)
@@ -231,7 +245,7 @@ def train(docs: DataFrame) -> Model:
         b, k, c = _merge(table)
         at = name("pairs", b)
         write_bytes(f"{at}.keys", k.astype("<u8"))
-        write_bytes(f"{at}.counts", c.astype("<i4"))
+        write_bytes(f"{at}.counts", c.astype("<i8"))
         second = k >> np.uint64(32)
         w, n = sum_runs(second, np.ones(len(k), np.int64))
         first = k & np.uint64(0xFFFFFFFF)

@@ -7,9 +7,10 @@ the mean over its n-grams of log(p_trusted / p_corpus), and it is kept if it pas
 and its score is at least `threshold`. Every document is scored; the two vectors are the only thing
 that reaches the driver, and their size is fixed by `bits`.
 
-null text: no words, so base_failed. null or repeated doc_ids: each row is judged by its text; a label
-applies to all rows of its id. No trusted document: all ratios are 0, so the base rules decide.
-Empty table: no rows.
+null text: no words, so base_failed. null or repeated doc_ids (ties): each row is judged by its text; a label
+applies to all rows of its id. Very long texts are judged whole. No trusted document: all ratios are 0, so the
+base rules decide; with few of them (far fewer n-grams than 2**bits) ratios lean below 0, as both vectors are smoothed
+by one. Empty table: no rows. keep_good() keeps other columns, whatever their names; elsewhere they are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemicycle.llm._shared import doc_words, long_id, materialise, mix64, per_text, slices
+from hemicycle.llm._shared import doc_words, long_id, mix64, per_text, slices
 
 _BLANK = " \t\n\v\f\r"
 _SLICES = 16
@@ -118,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, trusted_rows: int =
 
 
 _FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
+_NAMES = [x.split()[0] for x in _FIELDS.split(", ")]
 
 
 def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = -0.25) -> DataFrame:
@@ -128,26 +130,7 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = -0.25) -> Data
     def work(batches):
         ratio = shared.value
         for b in slices(batches, "text", _SLICE_BYTES):
-            text = pc.fill_null(b.column(2), "")
-            codes, words, offsets = doc_words(text, lower=False)
-            one, two = features(codes, words, offsets, bits)
-            n = np.diff(offsets)
-            gain = ratio[one].astype(np.float64) + np.where(two >= 0, ratio[two], 0)
-            grams = np.maximum(2 * n - 1, 1)
-            chars = np.asarray(pc.utf8_length(words), np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    b.column(1),
-                    pa.array(n),
-                    pa.array(per_text(chars, offsets)),
-                    pc.count_substring_regex(text, "[#*$%&|<>]").cast(pa.int64()),
-                    pa.array(np.fromiter(map(dup_lines, text.to_pylist()), np.int64, len(text))),
-                    pa.array(repeat_words(codes, offsets)),
-                    pa.array([float(np.sum(gain[a:z])) / g for a, z, g in zip(offsets[:-1].tolist(), offsets[1:].tolist(), grams.tolist(), strict=True)], pa.float64()),
-                ],
-                names=["doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_measures(b.column(2), ratio, bits)], names=["doc_id", "text_hash", *_NAMES])
 
     narrow = docs.select(long_id("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -155,9 +138,34 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = -0.25) -> Data
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = -0.25, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns. Rejected rows go by (doc_id, text)."""
-    verdicts = judge(docs, fit(docs, labels), threshold)
-    gone = materialise(verdicts.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "rejected")
-    gone = F.broadcast(gone) if gone.count() * 24 <= broadcast_bytes else gone
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__hash"]), "left_anti")
+def _measures(texts: pa.Array, ratio: np.ndarray, bits: int) -> list[pa.Array]:
+    """The five counts and the score of each text."""
+    text = pc.fill_null(texts, "")
+    codes, words, offsets = doc_words(text, lower=False)
+    one, two = features(codes, words, offsets, bits)
+    n = np.diff(offsets)
+    gain = ratio[one].astype(np.float64) + np.where(two >= 0, ratio[two], 0)
+    grams = np.maximum(2 * n - 1, 1)
+    chars = np.asarray(pc.utf8_length(words), np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+    return [
+        pa.array(n),
+        pa.array(per_text(chars, offsets)),
+        pc.count_substring_regex(text, "[#*$%&|<>]").cast(pa.int64()),
+        pa.array(np.fromiter(map(dup_lines, text.to_pylist()), np.int64, len(text))),
+        pa.array(repeat_words(codes, offsets)),
+        pa.array([float(np.sum(gain[a:z])) / g for a, z, g in zip(offsets[:-1].tolist(), offsets[1:].tolist(), grams.tolist(), strict=True)], pa.float64()),
+    ]
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = -0.25) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns: the pass that scores them hands them through."""
+    ratios = fit(docs, labels)
+    bits = int(len(ratios)).bit_length() - 1
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # 4 * 2**bits bytes
+
+    def work(batches):
+        for b in slices(batches, "text", _SLICE_BYTES):
+            n_words, _, _, _, repeated, score = (np.asarray(x) for x in _measures(b.column(b.schema.get_field_index("text")), shared.value, bits))
+            yield b.filter(pa.array((n_words >= 50) & (100 * repeated <= 50 * n_words) & (score >= threshold)))
+
+    return docs.mapInArrow(work, docs.schema)

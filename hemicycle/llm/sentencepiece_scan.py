@@ -12,7 +12,8 @@ after another character), so each distinct run is encoded once by the library an
 the runs at the boundaries, or a chunk without word start, go through the lattice.
 
 null text: encoded as empty, no pieces, decoded to ''. Texts that hold the word-start sign itself decode
-to a space instead (as the library does). Repeated rows are each encoded. Empty table: no rows.
+to a space instead (as the library does). Repeated rows (ties) are each encoded. Very long texts take the scan.
+Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -403,18 +403,18 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, recall: flo
     leading, indexes = plan_indexes(docs.count(), radius, both, percent, recall, block)
     parts = [f"f{i}" for i in range(indexes)]
     prints = materialise(fingerprints(docs, k, extra=indexes - 1, distinct=True), "prints")
-    nodes = materialise(prints.groupBy(F.col("content").alias("node")).agg(*(F.first(c).alias(c) for c in parts)), "nodes")
-    near = components(candidate_links(nodes, leading, indexes, radius, both, reps, salt_rows))
-    prints = prints.drop(*parts)
+    # texts of equal words are one node from here on: their least row and their number are aggregates
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    nodes = materialise(prints.groupBy(F.col("content").alias("node")).agg(F.min(row).alias("row"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in parts)), "nodes")
+    near = components(candidate_links(nodes.drop("row", "n"), leading, indexes, radius, both, reps, salt_rows))
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
-    least = prints.join(near, prints["content"] == near["node"]).groupBy("node", "root").agg(F.min(row).alias("row"))
+    least = nodes.select("node", "row").join(near, "node")
     members = materialise(least.select("node", "root", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")), "candidates")
     roots = components(similar_pairs(docs, members, k, percent, broadcast_bytes=broadcast_bytes))
-    of = prints.join(roots, prints["content"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "content").alias("root"))
-    first = of.groupBy("root").agg(F.min(row).alias("kept"), F.count("*").alias("n"))
-    groups = materialise(first.where("n > 1"), "groups")
-    copies = materialise(of.join(groups, "root").withColumn("stays", row.eqNullSafe(F.col("kept"))).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays").agg(F.count("*").alias("n")), "copies")
+    of = nodes.select("node", "row", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = of.groupBy("root").agg(F.min("row").alias("kept"), F.sum("n").alias("n"))
+    groups = materialise(of.select("node", "root").join(first.where("n > 1").select("root", "kept"), "root").select(F.col("node").alias("content"), "kept"), "groups")
+    copies = materialise(prints.select("doc_id", "text_hash", "content").join(groups, "content").withColumn("stays", row.eqNullSafe(F.col("kept"))).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays").agg(F.count("*").alias("n")), "copies")
     n, repeats = copies.agg(F.count("*"), F.count(F.when(F.col("stays") & (F.col("n") > 1), 1))).first()
 
     def on(rows: DataFrame, how: str) -> DataFrame:

@@ -325,6 +325,27 @@ def kmeans(rows: DataFrame, vector: str, k: int = 3, seed: int = 42) -> DataFram
     return KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(held).transform(held).drop("__v")
 
 
+def ward(matrix: np.ndarray, k: int) -> list[int]:
+    """Cluster numbers (by first member) of a few rows after merging, again and again, the two clusters whose union adds least to the squared distances from the means."""
+    members = {i: [i] for i in range(len(matrix))}
+    while len(members) > max(1, k):
+        means = {i: matrix[m].mean(axis=0) for i, m in members.items()}
+        names = sorted(members)
+        cost = lambda a, b: len(members[a]) * len(members[b]) / (len(members[a]) + len(members[b])) * float(((means[a] - means[b]) ** 2).sum())
+        a, b = min(((a, b) for n, a in enumerate(names) for b in names[n + 1 :]), key=lambda p: (round(cost(*p), 12), p))
+        members[a] += members.pop(b)
+    number = {a: n for n, a in enumerate(sorted(members))}
+    of = {i: number[a] for a, m in members.items() for i in m}
+    return [of[i] for i in range(len(matrix))]
+
+
+def latent_interval(matrix: np.ndarray, anchor: int = 0, rounds: int = 500, alpha: float = 0.05, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Percentile interval of latent_factor()'s scores over resampled columns."""
+    rng = np.random.default_rng(seed)
+    draws = np.array([latent_factor(matrix[:, rng.integers(matrix.shape[1], size=matrix.shape[1])], anchor) for _ in range(rounds)])
+    return np.quantile(draws, alpha / 2, axis=0), np.quantile(draws, 1 - alpha / 2, axis=0)
+
+
 def principal(rows: DataFrame, vector: str, k: int = 2) -> DataFrame:
     """rows with `components`, the first k principal components of a centred array column."""
     from pyspark.ml.feature import PCA, StandardScaler

@@ -15,6 +15,7 @@ from hemicycle.functions import vectors as V
 from hemicycle.operators import forecast, scoring
 from hemicycle.operators import profiles as P
 from hemicycle.operators import rows as R
+from hemicycle.operators import stats as S
 from hemicycle.sources import archives as A
 from hemicycle.sources import paged
 from hemicycle.sources import tables as TB
@@ -204,3 +205,31 @@ def test_cleaning_traps(spark):
     w = df.select(P.recency_weight(F.lit("2020-01-01").cast("timestamp"), F.lit("2021-01-01").cast("timestamp"), half_life=1.0)).first()[0]
     assert w == pytest.approx(0.5, abs=1e-2)
     assert pd.isna(df.select(V.expected_index(F.array(F.lit(0.0), F.lit(0.0)))).first()[0])
+
+
+def test_clusters_and_factors(spark):
+    rng = np.random.default_rng(8)
+    centres = np.array([[0.0, 0, 0, 0], [5, 5, 0, 0], [0, 0, 9, 0]])
+    x = np.concatenate([c + rng.normal(0, 0.3, (6, 4)) for c in centres])
+    assert S.ward(x, 3) == [0] * 6 + [1] * 6 + [2] * 6 and S.ward(x[:1], 3) == [0]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i int, v array<double>")
+    cluster = {r.i: r.cluster for r in S.kmeans(df, "v", 3).collect()}
+    assert [len({cluster[i] for i in range(a, a + 6)}) for a in (0, 6, 12)] == [1, 1, 1] and len(set(cluster.values())) == 3
+    _, _, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    want = (x - x.mean(axis=0)) @ vt[:2].T
+    got = np.array([r.components for r in S.principal(df, "v", 2).orderBy("i").collect()])
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+    score = S.latent_factor(x, 12)
+    u = want[:, 0] if want[12, 0] > 0 else -want[:, 0]
+    assert np.allclose(score, (u - u.mean()) / u.std())
+    low, high = S.latent_interval(np.repeat(x, 5, axis=1), 12, 50)
+    assert (low <= high).all() and low[12] > 0
+
+
+def test_supervised_classifier_learns(spark):
+    words = {"a": ["tax", "cut", "market"], "b": ["school", "care", "pupil"]}
+    rng = np.random.default_rng(9)
+    rows = [(k, [str(w) for w in rng.choice(words[k], 6)]) for k in "ab" for _ in range(30)]
+    df = spark.createDataFrame(rows, "label string, tokens array<string>")
+    model = scoring.text_classifier(features=256).fit(df)
+    assert model.transform(df).where("prediction = label_index").count() == 60

@@ -154,11 +154,14 @@ def modality_profiles(spark, d):
     return _modal(spark, d).select("actor", "modality", "category", _r("proportion").alias("proportion"))
 
 
+def _axis(spark, d) -> list[str]:
+    """The categories, a fixed few, from the table that names them."""
+    return [r[0] for r in _t(spark, d, "part").where("p_brand is not null").select("p_brand").distinct().orderBy("p_brand").collect()]
+
+
 def _gaps(spark, d):
-    cats = [f"Brand#{i}" for i in range(1, 26)]
     prof = _modal(spark, d)
-    known = [r[0] for r in prof.select("category").distinct().orderBy("category").collect()]  # the categories, a fixed few
-    vec = P.category_matrix(prof, ["actor", "modality"], known or cats, "proportion")
+    vec = P.category_matrix(prof, ["actor", "modality"], _axis(spark, d), "proportion")
     return P.compare(vec, [("speech", "motion"), ("speech", "vote"), ("motion", "vote")], "actor")
 
 
@@ -485,10 +488,10 @@ def strata_stability(spark, d):
     return out.select("n_all", _r("mean_all").alias("mean_all"), _r("sd_all").alias("sd_all"), _r("delta_R").alias("delta_R"), "stable_R")
 
 
-@_query(f"WITH {_LABELS}, i AS (SELECT actor, item_id FROM labels GROUP BY ALL), n AS (SELECT actor, count(*) AS n FROM i GROUP BY actor), s AS (SELECT actor, category, sum(weight) AS s FROM labels GROUP BY ALL) SELECT n.actor, c.category, round(coalesce(s, 0) / n, 6) AS mean FROM n CROSS JOIN (SELECT DISTINCT category FROM labels) c LEFT JOIN s ON s.actor = n.actor AND s.category = c.category")
+@_query(f"WITH {_LABELS}, i AS (SELECT actor, item_id FROM labels GROUP BY ALL), n AS (SELECT actor, count(*) AS n FROM i GROUP BY actor), s AS (SELECT actor, category, sum(weight) AS s FROM labels GROUP BY ALL) SELECT n.actor, c.category, round(coalesce(s, 0) / n, 6) AS mean FROM n CROSS JOIN (SELECT DISTINCT p_brand AS category FROM part) c LEFT JOIN s ON s.actor = n.actor AND s.category = c.category")
 def centroids(spark, d):
     lab = _labels(spark, d)
-    cats = [r[0] for r in lab.select("category").distinct().orderBy("category").collect()]  # the categories, a fixed few
+    cats = _axis(spark, d)
     out = P.centroids(lab, "actor", cats)
     return out.select("actor", F.posexplode("vector")).select("actor", F.element_at(F.array(*map(F.lit, cats)), F.col("pos") + 1).alias("category"), _r("col").alias("mean"))
 

@@ -45,7 +45,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(_read(spark, sf_dir, "pages"))
-    return warc.read_captures(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range", "place")
+    return warc.read_captures(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_maxscore_topk, op2_entropy_mix, op3_sentencepiece_scan, op4_kneser_ney, op5_chat_format, op6_token_counts, op7_warc, op8_simhash, op9_token_bins, op10_quality)}
 
+#: 20 bits (five hexadecimal digits) of a SHA-1 at a time as four base-32 digits.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, {1 + 5 * i}, 5) AS BIGINT) >> {shift}) & 31 AS BIGINT) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+
 ORACLES = {
+    "op7_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS chosen, count(*) AS n FROM p GROUP BY h),
+        d AS (SELECT page_id, octet_length(encode(p.h)) AS payload_bytes, sha1(p.h) AS x, CASE WHEN n > 1 AND page_id IS DISTINCT FROM chosen THEN chosen END AS refers_to FROM p JOIN g ON p.h = g.h)
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM d""",
     "op1_maxscore_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e

@@ -103,13 +103,13 @@ def token_overlap(left: DataFrame, right: DataFrame, key: str, item: str, left_t
     """Per left row the right row with the largest |A & B| / |B| of at least the threshold.
 
     Of the n tokens of B at least ceil(threshold * n) must occur in A, so one of its n - ceil(threshold * n) + 1
-    rarest ones does: only these are indexed, and pairs that meet are compared in full.
+    rarest ones (among all B) does: only these are indexed, and pairs that meet are compared in full.
     """
     a = left.select(key, *block, F.array_distinct(left_tokens).alias("__a"))
     b = right.select(item, *block, F.array_distinct(right_tokens).alias("__b")).withColumn("__n", F.size("__b")).where("__n > 0")
     probes = a.select(key, *block, F.explode("__a").alias("t"))
-    often = probes.join(b.select(F.explode("__b").alias("t")).distinct(), "t").groupBy("t").agg(F.count("*").alias("__often"))
-    spread = b.select(item, *block, "__n", F.explode("__b").alias("t")).join(often, "t", "left").fillna(0, ["__often"])
+    each = b.select(item, *block, "__n", F.explode("__b").alias("t"))
+    spread = each.join(each.groupBy("t").agg(F.count("*").alias("__often")), "t")
     place = F.row_number().over(Window.partitionBy(item, *block).orderBy("__often", "t"))
     rare = spread.withColumn("__k", place).where(F.col("__k") <= F.col("__n") - F.ceil(F.col("__n") * threshold - 1e-9) + 1).select(item, *block, "t")
     met = probes.join(rare, [*block, "t"]).select(key, item, *block).distinct()

@@ -163,6 +163,8 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int, forest: _Forest
     i, j = np.divmod(np.arange(len(a.levels[depth][0]) * len(b.levels[depth][0])), len(b.levels[depth][0]))
     stack = [(depth, i, j)]
     joined, work = None, 0
+    if forest is not None and (forest.up != np.arange(a.n)).any():
+        joined = forest.whole(len(a.levels))
     while stack:
         level, i, j = stack.pop()
         if same:
@@ -213,12 +215,14 @@ def _runs(batches):
 
 
 def block_links(rows: DataFrame, radius: int, both: int | None = None) -> DataFrame:
-    """Edges (a, b) from each node to the least of its component in each block of rows(key, node, code[, check]).
+    """Edges (a, b) from each node to the least of its component in each block of rows(key, node, code[, check[, tree]]).
 
     A block is the rows of one key: codes that share their leading bits. Codes link within `radius`
     bits and, if `both` is given, code and check together within `both`. place is the node's number
-    (from 0) among its component's nodes in the block.
+    (from 0) among its component's nodes in the block. With a column tree, nodes of one tree are
+    joined already and only edges that join trees are given (place 0).
     """
+    trees = "tree" in rows.columns
 
     def search(batches):
         for rows in _runs(batches):
@@ -227,6 +231,10 @@ def block_links(rows: DataFrame, radius: int, both: int | None = None) -> DataFr
             rows = rows[np.argsort(gray_rank(rows[:, 2].copy().view(np.uint64)), kind="stable")]
             node, code = rows[:, 1].copy(), rows[:, 2].copy().view(np.uint64)
             forest = _Forest(len(rows))
+            if trees:
+                _, head, of = np.unique(rows[:, 4], return_index=True, return_inverse=True)
+                forest.up = head[of]
+                start = np.flatnonzero(forest.up == np.arange(len(rows)))
             for p, q in near_pairs(code, None, radius, forest):
                 if both is not None:
                     check = rows[:, 3].copy().view(np.uint64)
@@ -235,6 +243,11 @@ def block_links(rows: DataFrame, radius: int, both: int | None = None) -> DataFr
                 if len(p):
                     forest.join(p, q)
             roots = forest.roots()
+            if trees:
+                moved = start[roots[start] != start]
+                if len(moved):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[roots[moved]]), pa.array(np.zeros(len(moved), np.int64))], names=["a", "b", "place"])
+                continue
             order = np.lexsort((node, roots))
             first = np.searchsorted(roots[order], roots[order], "left")
             place = np.arange(len(order)) - first
@@ -372,20 +385,44 @@ def plan_indexes(n: int, radius: int, both: int, percent: int, recall: float, bl
     return leading, max(2, math.ceil(math.log(1 - recall) / math.log(1 - meeting(leading, radius, both, percent))))
 
 
-def candidate_links(nodes: DataFrame, leading: int, indexes: int, radius: int, both: int, reps: int, salt_rows: int) -> DataFrame:
-    """Edges (a, b) of nodes(node, f0, f1, ...) that link in one of the indexes (one of each part).
+def candidate_links(nodes: DataFrame, leading: int, indexes: int, radius: int, both: int, reps: int, salt_rows: int, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """Edges (a, b) that span the components of nodes(node, f0, f1, ...) that link in any of the indexes (one of each part).
 
-    A first pass over the first index, whose blocks are salted by a hash of the node, thins out large
-    groups: of a group of more than `reps` nodes in a salted block the least `reps` stand for it in
-    what follows, so a block of a third of all nodes is no larger than others by more than that.
+    A first pass over the first index, whose blocks are salted by a hash of the node, finds large
+    groups: of a group of more than `reps` nodes in a salted block the least `reps` go through the
+    indexes first, so a block of a third of all nodes is no larger than others by more than that.
+    The others follow: each block that holds one of them and is not one component by now is cut into
+    cells of about `salt_rows` nodes, and the nodes outside its largest component meet every cell.
+    So all nodes are searched in all indexes, whatever `reps` is.
     """
     salts = max(1, nodes.count() // salt_rows)
     key = _leading(F.col("f0"), leading) * salts + F.pmod(F.xxhash64("node"), F.lit(salts))
     thin = materialise(block_links(nodes.select(key.alias("key"), "node", F.col("f0").alias("code"), F.col("f1").alias("check")), radius, both), "first-links")
-    kept = nodes.join(thin.where(F.col("place") >= reps).select(F.col("a").alias("node")), "node", "left_anti")
-    index = [F.struct((_leading(F.col(f"f{i}"), leading) * indexes + i).alias("key"), "node", F.col(f"f{i}").alias("code"), F.col(f"f{(i + 1) % indexes}").alias("check")) for i in range(indexes)]
-    rows = kept.select(F.explode(F.array(*index)).alias("r")).select("r.*")
-    return thin.unionByName(block_links(rows, radius, both)).select("a", "b")
+    late = thin.where(F.col("place") >= reps).select(F.col("a").alias("node")).distinct()
+    keys = [_leading(F.col(f"f{i}"), leading) * indexes + i for i in range(indexes)]
+
+    def indexed(nodes: DataFrame, *more: str) -> DataFrame:
+        rows = [F.struct(keys[i].alias("key"), "node", F.col(f"f{i}").alias("code"), F.col(f"f{(i + 1) % indexes}").alias("check"), *more) for i in range(indexes)]
+        return nodes.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+    links = thin.unionByName(block_links(indexed(nodes.join(late, "node", "left_anti")), radius, both)).select("a", "b")
+    held = lambda rows, n: F.broadcast(rows) if n * 24 <= broadcast_bytes else rows
+    open_keys = materialise(nodes.join(late, "node", "left_semi").select(F.explode(F.array(*keys)).alias("key")).distinct(), "open-keys")
+    n = open_keys.count()
+    if not n:
+        return links
+    links = materialise(links, "links")
+    dealt = materialise(nodes.join(components(links).withColumnRenamed("root", "tree"), "node", "left").withColumn("tree", F.coalesce("tree", "node")), "trees")
+    trees = indexed(dealt, "tree").join(held(open_keys, n), "key", "left_semi").groupBy("key", "tree").agg(F.count("*").alias("n"))
+    blocks = trees.groupBy("key").agg(F.max(F.struct("n", "tree"))["tree"].alias("main"), F.ceil(F.sum("n") / salt_rows).alias("cells"), F.count("*").alias("trees")).where("trees > 1").drop("trees")
+    blocks = materialise(blocks, "open-blocks")
+    n = blocks.count()
+    if not n:
+        return links
+    own, every = F.array(F.pmod(F.xxhash64("node"), F.col("cells"))), F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
+    rows = indexed(dealt, "tree").join(held(blocks, n), "key").withColumn("cell", F.explode(F.when(F.col("tree") == F.col("main"), own).otherwise(every)))
+    rest = block_links(rows.select(F.xxhash64("key", "cell").alias("key"), "node", "code", "check", "tree"), radius, both)
+    return links.unionByName(rest.select("a", "b"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.98, radius: int = 13, both: int = 28, block: int = 4096, reps: int = 64, salt_rows: int = 65_536, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -397,7 +434,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, recall: flo
     (64-bit parts, each checked against the next one): links of equal leading bits that differ in at most
     `radius` bits of the part and `both` of the two. The leading bits follow the number of texts, and the number
     of indexes follows from them such that a pair at the threshold is found with the probability `recall`
-    (more alike pairs more surely), at any size. Blocks keep their size, so the work of an index is in
+    (more alike pairs more surely), at any size and in groups of any size. Blocks keep their size, so the work of an index is in
     proportion to the texts; the indexes grow with their number to the power of 0.24.
     """
     leading, indexes = plan_indexes(docs.count(), radius, both, percent, recall, block)
@@ -406,7 +443,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, recall: flo
     # texts of equal words are one node from here on: their least row and their number are aggregates
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = materialise(prints.groupBy(F.col("content").alias("node")).agg(F.min(row).alias("row"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in parts)), "nodes")
-    near = components(candidate_links(nodes.drop("row", "n"), leading, indexes, radius, both, reps, salt_rows))
+    near = components(candidate_links(nodes.drop("row", "n"), leading, indexes, radius, both, reps, salt_rows, broadcast_bytes))
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     least = nodes.select("node", "row").join(near, "node")
     members = materialise(least.select("node", "root", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")), "candidates")

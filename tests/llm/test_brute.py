@@ -214,6 +214,29 @@ def test_hot_groups_keep_their_links(spark):
     assert kept == {0, *range(90, 270)}
 
 
+def test_thinned_groups_are_searched_in_every_index(spark):
+    """Texts that link, in a later index, only with members that a large group's representatives stand for."""
+    rng = random.Random(21)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    base = [rng.getrandbits(64) for _ in range(3)]
+    rows = [[flip(base[0], 2), flip(base[1], 4), rng.getrandbits(64)] for _ in range(60)]
+    rows += [[flip(rows[i][0], 20), rng.getrandbits(64), flip(rows[i][2], 3)] for i in range(0, 60, 5)]  # index 2 alone: 3 + 20 bits
+    rows += [[rng.getrandbits(64) for _ in range(3)] for _ in range(40)]
+    close = lambda x, y: any((x[i] ^ y[i]).bit_count() <= 13 and (x[i] ^ y[i]).bit_count() + (x[(i + 1) % 3] ^ y[(i + 1) % 3]).bit_count() <= 28 for i in range(3))
+    up = list(range(len(rows)))
+    for i in up[:]:
+        for j in range(i):
+            if close(rows[i], rows[j]):
+                up = [up[j] if u == up[i] else u for u in up]
+    assert max(collections.Counter(up).values()) == 72
+    signed = lambda x: x - (x >> 63 << 64)
+    nodes = spark.createDataFrame([(i, *map(signed, r)) for i, r in enumerate(rows)], "node long, f0 long, f1 long, f2 long")
+    for reps, salt_rows in ((2, 1000), (2, 20), (1, 7)):
+        root = {r.node: r.root for r in simhash.components(simhash.candidate_links(nodes, 0, 3, 13, 28, reps, salt_rows)).collect()}
+        got = [root.get(i, i) for i in range(len(rows))]
+        assert all((got[i] == got[j]) == (up[i] == up[j]) for i in range(len(rows)) for j in range(i))
+
+
 def test_index_plan():
     assert simhash.meeting(0, 64, 128, 80) == pytest.approx(1)
     found = [simhash.plan_indexes(n, 13, 28, 80, 0.98, 4096) for n in (0, 1, 4096, 10**5, 10**7, 10**9)]

@@ -46,10 +46,23 @@ def without(tokens_col, stop: Sequence[str]) -> Column:
     return F.filter(col(tokens_col), lambda t: ~t.isin(*stop))
 
 
-def html_to_text(c) -> Column:
-    """Scripts, styles and tags out, entities decoded, white space squeezed."""
-    bare = F.regexp_replace(F.regexp_replace(col(c), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]+>", " ")
-    return squeeze(unescape(bare))
+def html_to_text(c, entities: Mapping[str, str] | None = None) -> Column:
+    """Scripts, styles and tags out, entities decoded, white space squeezed.
+
+    All entities are decoded as browsers do, also without a semicolon; or, if `entities` (as written, with
+    what they stand for) are given, these alone, one after another. Then scripts go before styles, and
+    white space and word ends are ASCII, as in RE2.
+    """
+    if entities is None:
+        bare = F.regexp_replace(F.regexp_replace(col(c), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]+>", " ")
+        return squeeze(unescape(bare))
+    t = col(c)
+    for tag in ("script", "style"):
+        t = F.regexp_replace(t, rf"(?isu)<{tag}(?![0-9A-Za-z_]).*?</{tag}[\t\n\f\r ]*>", " ")
+    t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
+    for written, meant in entities.items():
+        t = F.replace(t, F.lit(written), F.lit(meant))
+    return F.trim(F.regexp_replace(t, r"[\t\n\f\r ]+", " "))
 
 
 def strip_tags(c) -> Column:

@@ -82,7 +82,10 @@ class PreTokens:
 
     def pieces(self, token: str) -> list[int]:
         """The ids of one pre-token of parts()."""
-        shown = token[1:] if token[:1] == "\0" else token.encode().decode("latin-1").translate(self.alphabet)
+        if token.isascii() and token.isprintable():  # of these only the blank has a stand-in
+            shown = token.replace(" ", self.alphabet[32])
+        else:
+            shown = token[1:] if token[:1] == "\0" else token.encode().decode("latin-1").translate(self.alphabet)
         return [x.id for x in self.model.tokenize(shown)]
 
     def whole(self, text: str) -> list[int]:

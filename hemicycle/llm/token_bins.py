@@ -14,6 +14,7 @@ lost executors and repeated attempts do no harm.
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 
@@ -40,7 +41,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, fol
             _held.clear()
             probe = Pieces(tokenizer_path, len)
             dtype = "<u2" if max(probe.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
-            _held[key] = Pieces(tokenizer_path, lambda ids: np.array(ids, dtype).tobytes())
+            code = "H" if dtype == "<u2" else "I"
+            _held[key] = Pieces(tokenizer_path, lambda ids: struct.pack(f"<{len(ids)}{code}", *ids), 600_000)
             _held[key].dtype = dtype
         pieces = _held[key]
         end, width = np.array([end_id], pieces.dtype).tobytes(), int(pieces.dtype[-1])
